@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, token_counts
+from . import byte_bpe, near_dedup, packing, token_counts
 from .shared import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -28,5 +28,9 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_counts, op5_byte_bpe, op7_best_fit_packing)}
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.find(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_counts, op5_byte_bpe, op7_best_fit_packing, op9_near_dedup)}
 SQL: dict[str, str] = {}
