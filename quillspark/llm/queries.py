@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, near_dedup, packing, secrets, sharding, token_counts, toxicity
+from . import byte_bpe, licenses, media, near_dedup, packing, secrets, sharding, token_counts, toxicity, vector_search
 from .shared import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -30,6 +30,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(token_counts.count_tokens(table(spark, sf_dir, "documents"), RANKS)))
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = media.write_archives(table(spark, sf_dir, "documents"))
+    got = media.features(media.read_archives(spark, folder))
+    size = F.octet_length("payload")
+    return got.select("doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = byte_bpe.encode_docs(table(spark, sf_dir, "documents"), RANKS)
     return byte_bpe.decode_docs(ids, RANKS).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -50,5 +57,17 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.find(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_token_counts, op5_byte_bpe, op6_secret_scan, op7_best_fit_packing, op9_near_dedup)}
-SQL: dict[str, str] = {}
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    names = F.array_join(F.array_sort(F.array_distinct("matches.license")), ",")
+    spans = F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"].cast("string"), m["end"].cast("string"))), ",")
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), names.alias("licenses"), spans.alias("spans"), F.array_max("matches.containment").alias("best_containment"))
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vector_search.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_token_counts, op4_media_columns, op5_byte_bpe, op6_secret_scan, op7_best_fit_packing, op8_license_scan, op9_near_dedup, op10_exact_topk)}
+SQL: dict[str, str] = {"op10_exact_topk": vector_search.SQL}
