@@ -28,8 +28,8 @@ SEEDS = ["idiot", "moron", "loser", "pathetic", "worthless", "disgusting", "stup
 SEED_WEIGHT = 3.0
 EXCEPTIONS = ["trash can", "trash bin", "clown fish", "clownfish", "class clown", "scumble"]
 #: Look-alikes of Latin letters, and digits and signs used for letters.
-HOMOGLYPHS = dict(zip("аеорсухкмтвнізјѕԁɡαεοιρυκντ", "aeopcyxkmtbhi3jsdgaeoipyknt"))
-DIGITS = dict(zip("013457@$!|", "oleastasil"))
+HOMOGLYPHS = dict(zip("аеорсухкмтвнізјѕԁɡαεοιρυκντ", "aeopcyxkmtbhiejsdgaeoipyknt"))
+DIGITS = dict(zip("013457@$!|", "oieastasii"))
 MAX_TERMS = 20_000
 SHORTEST, LONGEST = 4, 12
 #: Training documents that must hold a term, and the least log-odds.
@@ -62,7 +62,9 @@ def _signs():
 
 
 def fold(text: str) -> str:
-    return text.lower().translate(fold_table()) if _signs().search(text) else text.lower()
+    """Folded text; 1 stands for i and l alike, so these fold to one letter, in terms too."""
+    low = text.lower()
+    return (low.translate(fold_table()) if _signs().search(low) else low).replace("l", "i")
 
 
 @lru_cache(maxsize=1)
@@ -112,7 +114,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     # a term without counter-examples must be likelier toxic than chance: bound on its odds below
     sure = odds - 1.64 * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
     found = counted.where("term <> ''").withColumns({"odds": odds, "sure": sure}).where((F.col("odds") >= LEAST_ODDS) & (F.col("sure") >= 1.5)).orderBy(F.desc("pos"), "term").limit(MAX_TERMS).collect()
-    out: dict[str, float] = dict.fromkeys(SEEDS, SEED_WEIGHT)
+    out: dict[str, float] = dict.fromkeys(map(fold, SEEDS), SEED_WEIGHT)
     for r in sorted(found, key=lambda r: (len(r["term"]), r["term"])):
         t = r["term"]
         if not any(t[:k] in out for k in range(SHORTEST, len(t))):  # a shorter beginning already counts
@@ -126,9 +128,9 @@ def matcher(lexicon: dict[str, float]):
 
     a = ahocorasick.Automaton()
     for t, w in lexicon.items():
-        a.add_word(t, (len(t), w))
+        a.add_word(fold(t), (len(fold(t)), w))
     for t in EXCEPTIONS:
-        a.add_word(t, (len(t), None))
+        a.add_word(fold(t), (len(fold(t)), None))
     a.make_automaton()
     return a
 
