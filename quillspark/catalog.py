@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .functions import ids, text
 from .functions.embed import hashing_embedding
-from .operators import context, evaluation, files, gateway, graph, maintenance, retrieval
+from .operators import chunking, context, evaluation, files, gateway, graph, maintenance, retrieval
+from .plans import pipelines
+from .sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -82,7 +84,7 @@ def p2(spark, d):
     return asked(spark, d).select("conv_id", "turn", text.language(F.col("text")).alias("language"))
 
 
-IDENT_SQL = rf"[x FOR x IN regexp_extract_all(text, '\b[a-zA-Z_][a-zA-Z0-9_]{{2,}}\b') IF NOT list_contains({_list(text.STOP_WORDS)}, lower(x))]"
+IDENT_SQL = rf"[x FOR x IN regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') IF regexp_matches(x, '^[a-zA-Z_][a-zA-Z0-9_]{{2,}}$') AND NOT list_contains({_list(text.STOP_WORDS)}, lower(x))]"
 
 
 @query("p3_identifiers", f"SELECT conv_id, turn, array_to_string([y FOR y, i IN {IDENT_SQL} IF list_position({IDENT_SQL}, y) = i], ' ') AS keywords FROM {ASKED_SQL}")
@@ -702,3 +704,60 @@ FOUND = [("a.py", 0, None, "high", "m", "R1", "sec"), ("b.py", 10, 12, "low", "n
 @query("p26_diagnostics", f"SELECT file, greatest(0, line - 1) AS line, greatest(greatest(0, line - 1), coalesce(end_line, line) - 1) AS end_line, '[' || rule_id || '] ' || message || ' — ' || category AS message, CAST(coalesce(CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 WHEN 'info' THEN 2 END, 1) AS INTEGER) AS level FROM {_values(FOUND, 'file, line, end_line, severity, message, rule_id, category')}")
 def p26(spark, d):
     return gateway.diagnostics(values(spark, FOUND, "file string, line int, end_line int, severity string, message string, rule_id string, category string"))
+
+
+# --- chunking, sources, streams ------------------------------------------------------------------
+MODULE = '''"""Geometry helpers."""
+import math
+from os import path
+
+
+def area(r):
+    """Area of a circle."""
+    return math.pi * r ** 2
+
+
+class Shape:
+    def scale(self, k):
+        def inner(x):
+            return x * k
+        return inner(self.r)
+'''
+SOURCES = [("geo/shape.py", MODULE, "python"), ("q.sql", "SELECT 1", "sql"), ("empty.py", "", "python"), ("bad.py", "def (:", "python"), ("a.ts", "const x = 1", "typescript")]
+
+
+def source_files(spark) -> DataFrame:
+    return values(spark, [(*r, "p", "r") for r in SOURCES], "file_path string, content string, language string, project_id string, repository_name string")
+
+
+@query("t1_chunks")
+def t1(spark, d):
+    return chunking.chunk_files(spark, source_files(spark)).select("file_path", "node_type", "node_name", "start_line", "end_line", "parent_class", "docstring", F.array_join("calls", ",").alias("calls"), "chunk_id", "fqn")
+
+
+@query("t6_call_edges")
+def t6(spark, d):
+    return graph.edges_of(chunking.chunk_files(spark, source_files(spark)))
+
+
+@query("g7_resolved_calls")
+def g7(spark, d):
+    c = chunking.chunk_files(spark, source_files(spark))
+    return graph.resolve(graph.edges_of(c), c)
+
+
+@query("t7_push_paths", "SELECT id, array_to_string(paths, ',') AS paths FROM (VALUES (1, ['a', 'b', 'c']), (2, ['x']), (3, [])) t(id, paths)")
+def t7(spark, d):
+    bodies = [(1, '{"commits":[{"added":["a"],"modified":["b"]},{"added":["b"],"modified":["c"]}]}'), (2, '{"commits":[{"added":[],"modified":["x"]}]}'), (3, '{"commits":[]}')]
+    b = values(spark, bodies, "id int, body string").withColumn("j", F.from_json("body", "commits array<struct<added:array<string>,modified:array<string>>>"))
+    return b.select("id", F.array_join(gateway.webhook_paths(F.lit("push"), F.col("j")), ",").alias("paths"))
+
+
+@query("s4_branch_tip", "SELECT * FROM (VALUES ('a', 'l1'), ('b', 'r2'), ('c', 'h3'), ('d', 'unknown')) t(name, tip)")
+def s4(spark, d):
+    return readers.branch_tip(values(spark, [("a", "l1", "r1", "h1"), ("b", None, "r2", "h2"), ("c", None, None, "h3"), ("d", None, None, None)], "name string, local string, remote string, head string"))
+
+
+@query("flagship_retrieve")
+def flagship(spark, d):
+    return pipelines.retrieve(bench_queries(spark, d), read(spark, d, "documents"), read(spark, d, "embeddings"), vector_queries(spark, d))

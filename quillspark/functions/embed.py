@@ -1,7 +1,12 @@
-"""Deterministic hashing embedder: signed feature hashing of search tokens, unit length."""
+"""Deterministic hashing embedder, in the place of a model: signed feature hashing of search tokens,
+unit length. A model is another pandas UDF of the same shape."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,8 +14,25 @@ from .text import tokens
 
 
 def hashing_embedding(text: Column, dim: int = 64) -> Column:
-    t = tokens(text)
-    slot = F.transform(t, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dim)).alias("k"), F.when(F.pmod(F.xxhash64(w, F.lit(7)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.aggregate(F.filter(slot, lambda x: x["k"] == k), F.lit(0.0), lambda a, x: a + x["s"]))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+    @F.pandas_udf("array<float>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import zlib
+
+        known: dict[str, tuple[int, float]] = {}
+        for batch in batches:
+            out = []
+            for words in batch:
+                v = np.zeros(dim)
+                for w in () if words is None else words:
+                    if w not in known:
+                        if len(known) > 500_000:
+                            known.clear()
+                        h = zlib.crc32(w.encode())
+                        known[w] = h % dim, 1.0 if h >> 31 else -1.0
+                    k, s = known[w]
+                    v[k] += s
+                n = np.sqrt((v * v).sum())
+                out.append((v / n if n else v).astype(np.float32))
+            yield pd.Series(out)
+
+    return embed(tokens(text))

@@ -83,7 +83,8 @@ def query_type(q: Column) -> Column:
 
 
 def identifiers(q: Column) -> Column:
-    found = F.regexp_extract_all(q, F.lit(r"\b[a-zA-Z_][a-zA-Z0-9_]{2,}\b"), F.lit(0))
+    words = F.regexp_extract_all(q, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    found = F.filter(words, lambda t: t.rlike("^[a-zA-Z_][a-zA-Z0-9_]{2,}$"))
     stops = F.array(*map(F.lit, STOP_WORDS))
     return F.array_distinct(F.filter(found, lambda t: ~F.array_contains(stops, F.lower(t))))
 
