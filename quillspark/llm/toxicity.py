@@ -6,8 +6,8 @@ weights are log-odds of labelled training documents. The score is a logistic fun
 weight over the square root of the length, so one term in a long text counts less than in a short
 one, and exception phrases take back the terms inside them.
 
-The lexicon is learned by counting the word beginnings of all labelled training documents (partial
-sums before the shuffle); only terms of sufficient support and odds reach the driver, at most
+The lexicon is learned by counting the word beginnings of labelled training documents, at most about
+TRAIN_ROWS of them (partial sums before the shuffle); only terms of sufficient support and odds reach the driver, at most
 MAX_TERMS (seed terms always). Null and empty texts score the base rate's lower end: 0.0. Repeated
 rows score alike; a table without labels leaves the seed lexicon. Other columns are ignored.
 """
@@ -32,6 +32,9 @@ HOMOGLYPHS = dict(zip("аеорсухкмтвнізјѕԁɡαεοιρυκντ",
 DIGITS = dict(zip("013457@$!|", "oieastasii"))
 MAX_TERMS = 20_000
 SHORTEST, LONGEST = 4, 12
+#: Labelled rows learned from, about: where there are more, a sample by the hash of their ids. This
+#: bounds the label table that is broadcast and the counts that are shuffled.
+TRAIN_ROWS = 40_000
 #: Training documents that must hold a term, and the least log-odds.
 SUPPORT, LEAST_ODDS = 5, 3.0
 
@@ -77,7 +80,9 @@ def _words():
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> dict[str, float]:
     """{term: weight} from the labelled documents given (training rows only)."""
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("y"))
-    rows = docs.select(F.col(id_col), F.col(text).alias("text")).join(known, id_col).select("text", "y")
+    share = min(1.0, 0.95 * TRAIN_ROWS / max(1, known.count()))
+    known = known.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < share * 1_000_000)
+    rows = docs.select(F.col(id_col), F.col(text).alias("text")).join(F.broadcast(known), id_col).select("text", "y")
 
     def count(batches):
         from collections import Counter
