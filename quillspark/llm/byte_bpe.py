@@ -78,10 +78,17 @@ class _Block:
         lim = np.searchsorted(of[order], np.arange(buckets + 1))
         for k in np.flatnonzero(np.diff(lim)):
             i = order[lim[k] : lim[k + 1]]
-            yield int(k), pack(i.astype(np.uint32), h[i], size[i], word[bpe.ragged(start[i], size[i].astype(np.int64))])
+            steps = np.diff(i, prepend=0).astype(np.uint32)
+            yield int(k), pack(steps, size[i], word[bpe.ragged(start[i], size[i].astype(np.int64))], h[i].sum(dtype=np.uint64, keepdims=True))
 
+    def mark(self) -> np.ndarray:
+        """Sum of the distinct words' hashes, by which texts and dictionary are held to be of one reading."""
+        return np.array([sum(int(x.sum(dtype=np.uint64)) for x in self.hash) % (1 << 64)], np.uint64)
+
+
+def _split(path: str, buckets: int, words: bool):
+    """The dictionary rows of the blocks (words) or their texts as sequences."""
 
-def _split(path: str, buckets: int):
     def run(batches):
         splitter = bpe.Encoder(path)
         block, piece, held, number, base, last = _Block(), [], 0, 0, 0, -1
@@ -89,7 +96,11 @@ def _split(path: str, buckets: int):
 
         def close():
             nonlocal block, number
-            out = [(part * (1 << 20) + number, k, None, None, None, x) for k, x in block.dictionary(buckets)] if block.hash else []
+            at = part * (1 << 20) + number
+            if words:
+                out = [(at, k, None, None, None, x) for k, x in block.dictionary(buckets)] if block.hash else []
+            else:
+                out = [(at, -2, None, None, -1, pack(block.mark()))]
             block, number = _Block(), number + 1
             return out
 
@@ -123,7 +134,7 @@ def _split(path: str, buckets: int):
                 h, at, end = found
                 seq = block.add(h, raw, at, end)
                 first = np.searchsorted(at, lim)
-                for k, doc in enumerate(which):
+                for k, doc in enumerate(() if words else which):
                     piece.append((part * (1 << 20) + number, -1, key[int(doc)].as_py(), int(base + doc), int(held), pack(seq[first[k] : first[k + 1]])))
                     held += 1
                 if len(piece) >= 512:
@@ -147,36 +158,43 @@ def encode_docs(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
     spark = docs.sparkSession
     buckets = max(16, 2 * parts(spark))
     split = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = cut(split.mapInArrow(_split(path, buckets), SCHEMA))
+    if "Exchange" in split._jdf.queryExecution().executedPlan().toString():
+        split = cut(split)  # texts and words are read apart; an order that can change must not
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         enc, known, out = bpe.encoding(path), {}, []
         for block, blob in zip(pdf["block"], pdf["blob"]):
-            number, h, size, word = unpack(blob, np.uint32, np.uint64, np.uint32, np.uint8)
+            steps, size, word, mark = unpack(blob, np.uint32, np.uint32, np.uint8, np.uint64)
             raw, end = word.tobytes(), np.cumsum(size, dtype=np.int64)
             got = []
-            for k, e, n in zip(h.tolist(), end.tolist(), size.tolist()):
-                x = known.get(k)
+            for e, n in zip(end.tolist(), size.tolist()):
+                w = raw[e - n : e]
+                x = known.get(w)
                 if x is None:
-                    x = known[k] = enc._encode_single_piece(raw[e - n : e])
+                    x = known[w] = tuple(enc._encode_single_piece(w))
                 got.append(x)
             n = np.fromiter(map(len, got), np.uint32, len(got))
-            out.append((block, pack(number, n, np.fromiter((y for x in got for y in x), np.uint32, int(n.sum())))))
+            out.append((block, pack(steps, n, np.fromiter((y for x in got for y in x), np.uint32, int(n.sum())), mark)))
         return pd.DataFrame(out, columns=["block", "blob"])
 
-    words = rows.where("bucket >= 0").select("bucket", "block", "blob").groupBy("bucket").applyInPandas(merge, "block long, blob binary")
+    words = split.mapInArrow(_split(path, buckets, True), SCHEMA).select("bucket", "block", "blob").groupBy("bucket").applyInPandas(merge, "block long, blob binary")
 
     def assemble(texts: pd.DataFrame, dictionary: pd.DataFrame) -> pd.DataFrame:
-        number, n, ids = [], [], []
+        number, n, ids, marks = [], [], [], 0
         for blob in dictionary["blob"]:
-            a, b, c = unpack(blob, np.uint32, np.uint32, np.uint32)
-            number.append(a), n.append(b), ids.append(c)
+            a, b, c, m = unpack(blob, np.uint32, np.uint32, np.uint32, np.uint64)
+            number.append(np.cumsum(a, dtype=np.int64)), n.append(b), ids.append(c)
+            marks = (marks + int(m[0])) % (1 << 64)
+        texts = texts.sort_values("ord")
+        if len(texts) and int(unpack(texts["blob"].iloc[0], np.uint64)[0][0]) != marks:
+            raise RuntimeError("texts and dictionary of a block differ: the input changed between two readings")
+        texts = texts.iloc[1:]
         if number:
             number, n, ids = np.concatenate(number), np.concatenate(n).astype(np.int64), np.concatenate(ids)
             of, size = np.empty(len(number), np.int64), np.empty(len(number), np.int64)
             of[number], size[number] = np.cumsum(n) - n, n
         out, last = [], None
-        for doc, doc_id, blob in texts.sort_values("ord")[["doc", "doc_id", "blob"]].astype({"doc_id": object}).itertuples(index=False):
+        for doc, doc_id, blob in texts[["doc", "doc_id", "blob"]].astype({"doc_id": object}).itertuples(index=False):
             (seq,) = unpack(blob, np.uint32)
             got = ids[bpe.ragged(of[seq], size[seq])].tobytes() if len(seq) else b""
             if doc == last:  # a long document comes in several pieces
@@ -187,7 +205,7 @@ def encode_docs(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
         whole = [(k, b"".join(x)) for k, x in out]
         return pd.DataFrame({"doc_id": pd.array([None if pd.isna(k) else int(k) for k, _ in whole], "Int64"), "n_tokens": [len(x) // 4 for _, x in whole], "ids": [x for _, x in whole]})
 
-    texts = rows.where("bucket < 0").select("block", "doc_id", "doc", "ord", "blob")
+    texts = split.mapInArrow(_split(path, buckets, False), SCHEMA).select("block", "doc_id", "doc", "ord", "blob")
     got = texts.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(assemble, "doc_id long, n_tokens long, ids binary")
     return got
 
