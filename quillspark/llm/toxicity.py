@@ -159,7 +159,7 @@ def raw_score(text: str, a) -> tuple[float, int]:
 
 
 #: The logistic curve: score 0.5 at this weight for a text of up to 250 characters.
-MIDDLE, SLOPE, SHORT_TEXT = 3.5, 1.1, 250
+MIDDLE, SLOPE, SHORT_TEXT = 5.0, 1.1, 250
 
 
 def squash(weight: float, chars: int) -> float:
