@@ -118,7 +118,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     odds = F.log((F.col("pos") + 0.5) / (pos + 1) / ((F.col("neg") + 0.5) / (neg + 1)))
     # a term without counter-examples must be likelier toxic than chance: bound on its odds below
     sure = odds - 1.64 * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    found = counted.where("term <> ''").withColumns({"odds": odds, "sure": sure}).where((F.col("odds") >= LEAST_ODDS) & (F.col("sure") >= 1.5)).orderBy(F.desc("pos"), "term").limit(MAX_TERMS).collect()
+    found = counted.where("term <> ''").withColumns({"odds": odds, "sure": sure}).where((F.col("odds") >= LEAST_ODDS) & (F.col("sure") >= 2.5)).orderBy(F.desc("pos"), "term").limit(MAX_TERMS).collect()
     out: dict[str, float] = dict.fromkeys(map(fold, SEEDS), SEED_WEIGHT)
     for r in sorted(found, key=lambda r: (len(r["term"]), r["term"])):
         t = r["term"]
