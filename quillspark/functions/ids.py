@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 OID = "6ba7b8129dad11d180b400c04fd430c8"  # RFC 4122 namespace
 
@@ -44,7 +45,7 @@ def repository_name(url: Column) -> Column:
     return F.replace(F.element_at(F.split(F.rtrim(url, F.lit("/")), "/"), -1), F.lit(".git"), F.lit(""))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def signature_valid(body: pd.Series, signature: pd.Series, secret: pd.Series) -> pd.Series:
     """HMAC-SHA256 of the raw body for sha256= signatures, else equality with the secret token."""
     import hashlib
