@@ -6,8 +6,11 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
