@@ -24,7 +24,7 @@ from . import bpe
 from .shared import cut, parts
 
 #: Bytes of text that a block of documents gathers before it is closed (after a whole document).
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 12 << 20
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -215,7 +215,7 @@ def decode_docs(ids: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         table, start, size = bpe.token_bytes(path)
-        for b in batches:
+        for b in (w.slice(k, 256) for w in batches for k in range(0, w.num_rows, 256)):
             out = []
             for x in b.column(2):
                 i = np.frombuffer(x.as_py(), np.uint32)
