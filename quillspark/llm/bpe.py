@@ -16,7 +16,7 @@ import numpy as np
 
 #: Bytes of text handled at once; a longer document is cut at a space between two letters, which
 #: is a pre-token boundary, so memory does not grow with the longest text.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Distinct words remembered by a worker before its cache starts anew.
 CACHE_WORDS = 600_000
 
