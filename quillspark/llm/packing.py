@@ -2,12 +2,13 @@
 
 Documents are encoded, an end id is appended, and only documents longer than a sequence are cut.
 The packing itself works on the histogram of piece lengths, which has at most ``size`` entries
-whatever the corpus: the driver takes the largest length left, enumerates the undominated fillings
-of the room beside it (branch and bound: a branch is pruned once its waste cannot beat the best
-filling), and uses the filling as often as the counts allow. The best-fit-decreasing packing is the
-incumbent that this search must beat. Pieces then find their sequence by their rank within their
-length; ranks come from hash cells of bounded size, so a length that a third of all rows share is
-ranked by many tasks.
+whatever the corpus: the driver takes the largest length left, finds the best filling of the room
+beside it (a branch is left out only where the sums that the remaining lengths can reach show that it
+cannot be within the waste allowed), and uses the filling as often as the counts allow. Fillings are
+not taken back; instead the whole packing is made again with more waste allowed for a filling, which
+spares small lengths for later. The best-fit-decreasing packing is the incumbent to beat. Pieces then
+find their sequence by their rank within their length; ranks come from hash cells of bounded size, so
+a length that a third of all rows share is ranked by many tasks.
 
 Null text counts as empty: one piece that holds the end id alone. Repeated rows are packed each.
 An empty table gives no pieces. Other columns are ignored.
@@ -85,54 +86,54 @@ def _use(left: dict[int, int], fill: list[int]) -> tuple[tuple[int, ...], int]:
     return tuple(fill), times
 
 
-def completion(left: dict[int, int], first: int, size: int, nodes: int) -> list[int]:
-    """The filling of least waste beside ``first``: depth first over lengths in falling order. A
-    branch ends when nothing fits, and the search at waste 0; a filling that another one exceeds
-    item by item is dominated and never visited, since each level tries the largest fit first and
-    no filling stops while an item still fits."""
-    lengths = sorted(left)
-    best, waste, seen = [first], size - first, 0
-
-    def visit(fill: list[int], room: int, top: int) -> None:
-        nonlocal best, waste, seen
-        seen += 1
-        if room < waste:
-            best, waste = list(fill), room
-        if not waste or seen > nodes:
-            return
-        k = min(top, bisect.bisect_right(lengths, room)) - 1
-        while k >= 0 and waste and seen <= nodes:
-            n = lengths[k]
-            if n * (room // n) <= room - waste and room - n < lengths[0]:
-                break  # waste bound: this and every smaller last item leave at least as much waste
-            if left[n] > fill.count(n):
-                fill.append(n)
-                visit(fill, room - n, k + 1)
-                fill.pop()
-            k -= 1
-
-    visit([first], size - first, len(lengths))
-    return best
-
-
-def bin_completion(counts: dict[int, int], size: int, nodes: int = 400) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns by bin completion; the best-fit packing where it needs no more sequences. nodes bounds
-    the branches for one filling: the search is of the histogram, so neither grows with the rows."""
-    incumbent = best_fit(counts, size)
-    need = sum(t for _, t in incumbent)
+def completion(left: dict[int, int], first: int, size: int, spare: int = 0) -> list[int]:
+    """Beside ``first``, the filling with the most of the largest lengths among all whose waste is at
+    most ``spare`` above the least. The search is exact: sums[k] has bit s set if the k smallest
+    lengths left can add up to s, so only branches that reach such a sum are followed."""
+    room = size - first
+    lengths = [n for n in sorted(left) if n <= room]
+    most = [min(left[n] - (n == first), room // n) for n in lengths]
+    sums, mask = [1], (1 << (room + 1)) - 1
+    for n, many in zip(lengths, most):
+        bits, step = sums[-1], 1
+        while many > 0:  # any number of n up to many, in doubling steps
+            step = min(step, many)
+            bits |= bits << (n * step) & mask
+            many -= step
+            step *= 2
+        sums.append(bits)
+    top = sums[-1].bit_length() - 1
+    fill, low = [first], max(0, top - spare)
+    for k in range(len(lengths) - 1, -1, -1):
+        n = lengths[k]
+        c = min(most[k], top // n)
+        while (sums[k] & (1 << (top - n * c + 1)) - 1).bit_length() - 1 < low - n * c:
+            c -= 1
+        fill += [n] * c
+        top, low = top - n * c, max(0, low - n * c)
+    return fill
+
+
+def bin_completion(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
+    """The smallest of the packings by exact fillings, with rising spare waste, and of the best-fit
+    packing. The fillings of a packing are not taken back, so it is known to be the smallest possible
+    only where it meets the bound, total length by size; README has the gaps measured."""
+    best = best_fit(counts, size)
+    need = sum(t for _, t in best)
     total = sum(n * c for n, c in counts.items())
-    if need <= -(-total // size):
-        return incumbent
-    left = {n: c for n, c in counts.items() if c > 0}
-    out, used, packed = [], 0, 0
-    while left:
-        fill, times = _use(left, completion(left, max(left), size, nodes))
-        out.append((fill, times))
-        used += times
-        packed += times * sum(fill)
-        if used + -(-(total - packed) // size) > need:  # bound on the waste: cannot beat the incumbent
-            return incumbent
-    return out if used <= need else incumbent
+    for spare in (0, *(1 << k for k in range(size.bit_length()))):
+        if need <= -(-total // size):
+            break
+        left = {n: c for n, c in counts.items() if c > 0}
+        out, used, packed = [], 0, 0
+        while left and used + -(-(total - packed) // size) < need:  # bound on the waste: can beat the best
+            fill, times = _use(left, completion(left, max(left), size, spare))
+            out.append((fill, times))
+            used += times
+            packed += times * sum(fill)
+        if not left and used < need:
+            best, need = out, used
+    return best
 
 
 def plan(counts: dict[int, int], size: int) -> dict[int, tuple[np.ndarray, ...]]:

@@ -100,6 +100,23 @@ def test_bin_completion_beats_best_fit():
         assert used == counts and sum(t for _, t in done) <= sum(t for _, t in packing.best_fit(dict(counts), 40))
 
 
+def test_completion_finds_two_items_beside_the_first():
+    for n in (1, 50):
+        done = packing.bin_completion(dict.fromkeys((600, 370, 330, 324, 224, 200), n), 1024)
+        assert sum(t for _, t in done) == 2 * n
+
+
+def test_completion_wastes_least():
+    random.seed(2)
+    for _ in range(300):
+        items = [random.randrange(1, 30) for _ in range(9)]
+        sums = {0}
+        for n in sorted(items)[:-1]:
+            sums |= {x + n for x in sums}
+        fill = packing.completion(Counter(items), max(items), 60)
+        assert not Counter(fill) - Counter(items) and sum(fill) == max(items) + max(x for x in sums if x + max(items) <= 60)
+
+
 def test_sharding_equals_sql(spark, odd, none):
     more = spark.createDataFrame([(i, "hot" if i % 3 else f"text {i} " * (i % 17), "en", "s", 1) for i in range(3000)], SCHEMA)
     for df in (more, odd):
