@@ -545,7 +545,16 @@ def a14(spark, d):
 @query("a15_findings", "SELECT l_shipmode AS file, n, rules FROM (SELECT l_returnflag AS l_shipmode, count(*) AS n, array_to_string(list_sort(list(l_linestatus || l_linenumber)), ',') AS rules FROM lineitem WHERE l_orderkey < 50 GROUP BY 1)")
 def a15(spark, d):
     f = read(spark, d, "lineitem").where("l_orderkey < 50").select(F.col("l_returnflag").alias("file"), F.concat("l_linestatus", F.col("l_linenumber").cast("string")).alias("rule_id"))
-    return gateway.findings_by_file(f).withColumn("rules", F.array_join("rules", ","))
+    each = F.flatten(F.transform("rules", lambda r: F.array_repeat(r["rule_id"], r["n"].cast("int"))))
+    return gateway.findings_by_file(f).withColumn("rules", F.array_join(each, ","))
+
+
+@query("a15_findings_all", """SELECT file, CAST(sum(n) AS BIGINT) AS n, string_agg(rule || ':' || n, ',' ORDER BY rule) AS rules
+FROM (SELECT l_returnflag AS file, l_linestatus || l_linenumber AS rule, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1""")
+def a15_all(spark, d):
+    f = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("file"), F.concat("l_linestatus", F.col("l_linenumber").cast("string")).alias("rule_id"))
+    each = F.transform("rules", lambda r: F.concat_ws(":", r["rule_id"], r["n"].cast("string")))
+    return gateway.findings_by_file(f).withColumn("rules", F.array_join(each, ","))
 
 
 @query("w5_quota")

@@ -104,7 +104,11 @@ def gauge(events: DataFrame, value: str, order: list[str], *labels: str) -> Data
 
 
 def findings_by_file(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("file").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("rule_id")).alias("rules"))
+    """(file, n, rules): rules is an array of (rule_id, n) by rule, null rules left out. Counted before
+    collecting, so the array of a file is bounded by the number of rules."""
+    each = findings.groupBy("file", "rule_id").agg(F.count("*").alias("n"))
+    rule = F.when(F.col("rule_id").isNotNull(), F.struct("rule_id", "n"))
+    return each.groupBy("file").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(rule)).alias("rules"))
 
 
 def webhook_paths(event_type: Column, body: Column) -> Column:

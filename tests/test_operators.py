@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark import catalog
 from quillspark.functions import ids, text
-from quillspark.operators import chunking, graph, maintenance
+from quillspark.operators import chunking, gateway, graph, maintenance
 from quillspark.streaming import events
 
 SF = "/root/testdata/sf0.001"
@@ -40,6 +40,22 @@ def test_equals_sql(spark, duck, name):
     assert rows(df.columns, df.collect(), cols) == rows(names, rel.fetchall(), cols)
 
 
+@pytest.mark.parametrize("name", ["a15_findings", "a15_findings_all"])
+def test_findings_equal_sql(spark, duck, name):
+    test_equals_sql(spark, duck, name)
+
+
+def test_findings_cover_every_row(spark):
+    total = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert sum(r.n for r in catalog.QUERIES["a15_findings_all"](spark, SF).collect()) == total
+
+
+def test_findings_are_counted_before_collecting(spark):
+    df = spark.range(5000).selectExpr("'f' file", "if(id = 0, null, concat('r', id % 3)) rule_id")
+    r = gateway.findings_by_file(df).first()
+    assert r.n == 5000 and [tuple(x) for x in r.rules] == [("r0", 1666), ("r1", 1667), ("r2", 1666)]
+
+
 def test_chunk_ids_are_uuid5(spark):
     df = spark.createDataFrame([("p", "h"), ("q", "h")], "a string, b string").select(ids.chunk_id(F.col("a"), F.col("b")).alias("i"))
     assert [r.i for r in df.collect()] == [str(uuid.uuid5(uuid.NAMESPACE_OID, f"{p}::h")) for p in "pq"]
