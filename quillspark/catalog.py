@@ -449,7 +449,7 @@ def p11(spark, d):
 
 @query("w4_greedy_callers")
 def w4(spark, d):
-    e = read(spark, d, "events").where("event_id % 10 < 4").select((F.col("event_id") / 10).cast("int").alias("query_id"), (F.col("event_id") % 10).cast("int").alias("ord"), (F.col("user_id") % 300).alias("tokens"))
+    e = read(spark, d, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("ord"), (F.col("event_id") * 37 % 300 + 1).alias("tokens"))
     return context.greedy_callers(e, 400)
 
 

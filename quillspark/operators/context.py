@@ -25,10 +25,14 @@ def budgeted(ranked: DataFrame, budget: int, top: int = 5, content: str = "conte
 
 
 def greedy_callers(callers: DataFrame, budget: Column | int) -> DataFrame:
-    """Caller notes (query_id, ord, tokens) taken in order, skipping those that overflow the budget.
-    A query has few callers (two for each used chunk), so its array is bounded."""
-    rows = callers.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("ord", "tokens"))).alias("a"))
+    """Caller notes (query_id, ord, tokens) taken in order, skipping those that overflow the budget;
+    tokens are not negative. The room left only shrinks, so of equal token counts the first ones are
+    taken and, after one is skipped, no more: rows beyond the budget's share of their count do not enter
+    the array, which is bounded by the budget, save for notes of 0 tokens, all taken."""
     budget = F.lit(budget) if isinstance(budget, int) else budget
+    w = Window.partitionBy("query_id", "tokens").orderBy("ord")
+    note = F.when(F.col("nth") * F.col("tokens") <= budget, F.struct("ord", "tokens"))
+    rows = callers.withColumn("nth", F.row_number().over(w)).groupBy("query_id").agg(F.array_sort(F.collect_list(note)).alias("a"))
     start = F.struct(budget.cast("long").alias("left"), F.array().cast("array<int>").alias("taken"))
     step = lambda s, x: F.when(x["tokens"] <= s["left"], F.struct((s["left"] - x["tokens"]).alias("left"), F.concat(s["taken"], F.array(x["ord"].cast("int"))).alias("taken"))).otherwise(s)
     got = rows.withColumn("got", F.aggregate("a", start, step))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark import catalog
 from quillspark.functions import ids, text
-from quillspark.operators import chunking, gateway, graph, maintenance
+from quillspark.operators import chunking, context, gateway, graph, maintenance
 from quillspark.streaming import events
 
 SF = "/root/testdata/sf0.001"
@@ -78,6 +78,29 @@ def test_every_file_has_a_chunk():
     assert kinds == [("function", "area", None), ("class", "Shape", None), ("method", "scale", "Shape"), ("method", "inner", "Shape")]
 
 
+def greedy(notes, budget):
+    left, taken = budget, []
+    for o, n in sorted(notes):
+        if n <= left:
+            left, taken = left - n, [*taken, o]
+    return taken, left
+
+
+def test_greedy_callers_over_all_events(spark):
+    by = {}
+    for r in spark.read.parquet(f"{SF}/events.parquet").collect():
+        by.setdefault(r.user_id, []).append((r.event_id, r.event_id * 37 % 300 + 1))
+    got = {r.query_id: (r.taken, r.left) for r in catalog.QUERIES["w4_greedy_callers"](spark, SF).collect()}
+    assert got == {q: greedy(notes, 400) for q, notes in by.items()} and max(map(len, by.values())) > 4
+
+
+def test_greedy_callers_of_a_hot_query(spark):
+    rows = [(1, i, 1 + i * 7919 % 90) for i in range(5000)] + [(2, i, 1) for i in range(600)] + [(3, 0, 999), (4, 1, 0), (4, 0, 400), (5, 0, 300), (5, 1, 200), (5, 2, 100)]
+    df = spark.createDataFrame(rows, "query_id long, ord int, tokens int")
+    got = {r.query_id: (r.taken, r.left) for r in context.greedy_callers(df, 400).collect()}
+    assert got == {q: greedy([x[1:] for x in rows if x[0] == q], 400) for q in range(1, 6)}
+
+
 def test_unknown_node_has_no_callers(spark):
     e = spark.createDataFrame([("a", "b")], "src string, dst string")
     assert graph.callers(e, spark.createDataFrame([("q",)], "node string")).count() == 0
