@@ -667,7 +667,7 @@ def g2(spark, d):
 
 @query("a17_ancestors", RING_SQL % 8)
 def a17(spark, d):
-    return graph.callers(*ring(spark), depth=8)
+    return graph.callers(*ring(spark), depth=None)
 
 
 @query("g3_callees", f"SELECT DISTINCT src, dst FROM {E_SQL} WHERE src IN ('p1', 'p2', 'p3')")

@@ -16,21 +16,25 @@ def last_wins(edges: DataFrame, order: str = "ord") -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.max_by("relation", order).alias("relation"))
 
 
-def callers(edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:
-    """(start, node, depth): nodes that reach a start within depth steps, the start left out. Each
-    round joins the new frontier with the edges; seen nodes are left out, so cycles end."""
+def callers(edges: DataFrame, starts: DataFrame, depth: int | None = 2) -> DataFrame:
+    """(start, node, depth): nodes that reach a start within depth steps, or all of them if depth is None
+    or 99 or more; the start left out. Each round joins the new frontier with the edges, until a
+    frontier is empty; seen nodes are left out, so cycles end."""
     spark = edges.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) is not None
+    cut = lambda df: df.checkpoint() if shared else df.localCheckpoint()
     e = edges.select(F.col("src").alias("node"), F.col("dst").alias("to")).distinct()
     seen = frontier = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct()
-    checkpointed = spark.conf.get("spark.checkpoint.dir", None) is not None
-    for d in range(1, depth + 1):
+    parts, d = int(spark.conf.get("spark.sql.shuffle.partitions")), 0
+    while depth is None or depth >= 99 or d < depth:
+        d += 1
         step = frontier.withColumnRenamed("node", "to").join(e, "to").select("start", "node", F.lit(d).alias("depth")).distinct()
-        frontier = step.join(seen, ["start", "node"], "left_anti")
-        if checkpointed:
-            frontier = frontier.checkpoint()
-            if depth >= 99 and not frontier.take(1):
-                break
+        frontier = cut(step.join(seen, ["start", "node"], "left_anti"))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
+        if d % 8 == 0:  # else a long walk unites as many frontiers as it has steps
+            seen = cut(seen.coalesce(parts))
     return seen.where("node <> start")
 
 

@@ -106,6 +106,23 @@ def test_unknown_node_has_no_callers(spark):
     assert graph.callers(e, spark.createDataFrame([("q",)], "node string")).count() == 0
 
 
+@pytest.mark.parametrize("depth, reached", [(8, 8), (99, 104)])
+def test_closure_of_a_long_chain(spark, depth, reached):
+    rows = [(f"n{i + 1}", f"n{i}") for i in range(104)] + [("n0", "n104")]
+    got = graph.callers(spark.createDataFrame(rows, "src string, dst string"), spark.createDataFrame([("n0",)], "node string"), depth).collect()
+    assert sorted((r.node, r.depth) for r in got) == sorted((f"n{i}", i) for i in range(1, reached + 1))
+
+
+def test_ancestors_query_has_no_depth_limit(spark, monkeypatch):
+    chain = [(f"k{i:02}", f"k{i - 1:02}" if i else "c") for i in range(12)]
+    monkeypatch.setattr(catalog, "RING", chain)
+    assert sorted(r.depth for r in catalog.QUERIES["a17_ancestors"](spark, SF).collect()) == list(range(1, 13))
+
+
+def test_ancestors_equal_sql(spark, duck):
+    test_equals_sql(spark, duck, "a17_ancestors")
+
+
 def test_dedup_keeps_the_first(spark):
     df = spark.createDataFrame([("h", 2), ("h", 1), ("g", 3)], "hash string, ord int")
     assert sorted(r.ord for r in maintenance.dedup_first(df, "hash", "ord").collect()) == [1, 3]
