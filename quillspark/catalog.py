@@ -332,6 +332,11 @@ def f13(spark, d):
     return read(spark, d, "orders").where("o_custkey % 10 = 1").select("o_orderkey", "o_orderdate").orderBy(F.desc_nulls_last("o_orderdate"), "o_orderkey")
 
 
+@query("f13_jobs_by_project", "SELECT o_custkey AS project_id, o_orderkey, o_orderdate FROM orders ORDER BY project_id, o_orderdate DESC NULLS LAST, o_orderkey")
+def f13_by_project(spark, d):
+    return read(spark, d, "orders").select(F.col("o_custkey").alias("project_id"), "o_orderkey", "o_orderdate").orderBy("project_id", F.desc_nulls_last("o_orderdate"), "o_orderkey")
+
+
 @query("f14_snippet", "SELECT doc_id, strlen(text) <= 200000 AS valid, text[:12000] AS excerpt FROM documents")
 def f14(spark, d):
     return read(spark, d, "documents").select("doc_id", files.snippet_valid(F.col("text")).alias("valid"), text.preview(F.col("text"), 12000).alias("excerpt"))
@@ -421,6 +426,17 @@ def j3(spark, d):
     return retrieval.symbols(names, keys).select("query_id", "keyword", "fqn", "ord", "n")
 
 
+@query("j3_symbols_all", """WITH k AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS keyword FROM part),
+h AS (SELECT keyword, 'r::' || p_brand || '::' || p_name AS fqn, p_partkey AS ord FROM k JOIN part ON contains(list_last(string_split('r::' || p_brand || '::' || p_name, '::')), keyword)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY keyword ORDER BY ord, fqn) AS INTEGER) AS n FROM h) SELECT * FROM r WHERE n <= 5""")
+def j3_all(spark, d):
+    part = read(spark, d, "part")
+    names = part.select(F.concat(F.lit("r::"), "p_brand", F.lit("::"), "p_name").alias("fqn"), F.col("p_partkey").alias("ord"))
+    keyword = F.lower(F.split_part("p_name", F.lit(" "), F.lit(1)))
+    keys = part.select(keyword.alias("query_id"), keyword.alias("keyword"))
+    return retrieval.symbols(names, keys).select("keyword", "fqn", "ord", "n")
+
+
 @query("e1_embedding")
 def e1(spark, d):
     return read(spark, d, "documents").select("doc_id", hashing_embedding(F.col("text")).alias("embedding"))

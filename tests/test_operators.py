@@ -56,6 +56,18 @@ def test_findings_are_counted_before_collecting(spark):
     assert r.n == 5000 and [tuple(x) for x in r.rules] == [("r0", 1666), ("r1", 1667), ("r2", 1666)]
 
 
+@pytest.mark.parametrize("name", ["j3_symbols_all", "f13_jobs_by_project"])
+def test_whole_tables_equal_sql(spark, duck, name):
+    test_equals_sql(spark, duck, name)
+
+
+def test_symbols_and_jobs_cover_their_tables(spark):
+    words = {r.p_name.split(" ")[0].lower() for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
+    found = {r.keyword for r in catalog.QUERIES["j3_symbols_all"](spark, SF).collect()}
+    assert found == words
+    assert catalog.QUERIES["f13_jobs_by_project"](spark, SF).count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+
+
 def test_chunk_ids_are_uuid5(spark):
     df = spark.createDataFrame([("p", "h"), ("q", "h")], "a string, b string").select(ids.chunk_id(F.col("a"), F.col("b")).alias("i"))
     assert [r.i for r in df.collect()] == [str(uuid.uuid5(uuid.NAMESPACE_OID, f"{p}::h")) for p in "pq"]
