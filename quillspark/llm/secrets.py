@@ -29,6 +29,7 @@ ENCODINGS = [
     ("hex", "^[0-9a-fA-F]+$", "0123456789abcdef", 32),
     ("base32", "^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32),
     ("alnum", "^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 28),
+    ("upper", "^[0-9A-Z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 28),
     ("base64", "^[A-Za-z0-9+/_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 24),
 ]
 LEVEL = 0.05

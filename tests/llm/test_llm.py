@@ -190,6 +190,13 @@ def test_secrets(spark, odd, none):
     assert secrets.spans(none).count() == 0
 
 
+def test_upper_case_secrets(spark):
+    token = "ZK3VQ9XT1BLW7RMP2SYD8HFG5JCNA0EU"
+    df = spark.createDataFrame([(1, f"the quick {token} brown", None, None, 1)], SCHEMA)
+    assert secrets.spans(df).select(secrets.joined(F.col("secrets"))).first()[0].startswith("random:10:42")
+    assert token not in secrets.redact(df).first().text
+
+
 def test_toxicity(spark, odd, none):
     lexicon = dict.fromkeys(toxicity.SEEDS, 4.0)
     rows = [(1, "you 1d1ot, what a mоrоn"), (2, "the trash can is full"), (3, "a kind word"), (4, None)]
