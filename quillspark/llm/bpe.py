@@ -9,6 +9,7 @@ library as they are, so results equal ``encode_ordinary`` for every text.
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 from functools import lru_cache
 
@@ -17,8 +18,8 @@ import numpy as np
 #: Bytes of text handled at once; a longer document is cut at a space between two letters, which
 #: is a pre-token boundary, so memory does not grow with the longest text.
 SLICE_BYTES = 1 << 20
-#: Distinct words remembered by a worker before its cache starts anew.
-CACHE_WORDS = 600_000
+#: Distinct words, and bytes of them, remembered by a worker before its cache starts anew.
+CACHE_WORDS, CACHE_BYTES = 400_000, 16 << 20
 
 _L, _N, _S, _O, _E = 1, 2, 3, 4, 5  # letter, number, space, other, not handled here
 
@@ -122,18 +123,9 @@ def boundaries(b: np.ndarray, docs: np.ndarray) -> np.ndarray | None:
     return np.flatnonzero(start)
 
 
-_P = np.uint64(0x9E3779B97F4A7C15)
-_POW: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POW or len(_POW[0]) < n + 1:
-        with np.errstate(over="ignore"):
-            inv = np.uint64(pow(int(_P), -1, 1 << 64))
-            m = max(n + 1, SLICE_BYTES + (1 << 16))
-            fill = lambda p: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(m - 1, p, np.uint64)]))
-            _POW[:] = [fill(_P), fill(inv)]
-    return _POW[0], _POW[1]
+#: Words up to this many bytes are hashed together, eight bytes at a step; longer ones by blake2b.
+LONG_WORD = 256
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(8)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -144,14 +136,58 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def eights(b: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position of b on (zeros past its end) as one little-endian number."""
+    wide = np.zeros(len(b) + 8, np.uint8)
+    wide[: len(b)] = b
+    return np.ndarray((len(b) + 1,), "<u8", wide, strides=(1,))
+
+
 def hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each b[start:end]."""
-    power, inverse = _powers(len(b))
-    total = np.empty(len(b) + 1, np.uint64)
-    total[0] = 0
+    """A 64-bit hash of each b[start:end]. Every eight bytes are mixed in before the next come, so no
+    arrangement of letters cancels out as it can in a sum of powers."""
+    n = end - start
     with np.errstate(over="ignore"):
-        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)], out=total[1:])
-        return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+        h = (n.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        view, live = eights(b), np.flatnonzero((n > 0) & (n <= LONG_WORD))
+        at, left = start[live], n[live]
+        while len(live):
+            x = view[at]
+            short = left < 8
+            x[short] &= _KEEP[left[short]]
+            h[live] = mix(h[live] ^ x) + np.uint64(0x9E3779B97F4A7C15)
+            more = left > 8
+            live, at, left = live[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(n > LONG_WORD):
+        h[k] = int.from_bytes(hashlib.blake2b(b[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def distinct(b: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of a slice: the number of each word, and where the first of each number is.
+    Words of one hash are compared byte by byte; should any differ, the words themselves are the keys."""
+    import pandas as pd
+
+    code, unique = pd.factorize(h)
+    one = np.empty(len(unique), np.int64)
+    one[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+    n, rep = end - start, one[code]
+    same = bool((n == n[rep]).all())
+    view, live = eights(b), np.flatnonzero(rep != np.arange(len(rep)))
+    at, other, left = start[live], start[rep[live]], n[live]
+    while same and len(at):
+        x = view[at] ^ view[other]
+        short = left < 8
+        x[short] &= _KEEP[left[short]]
+        same = not x.any()
+        more = left > 8
+        at, other, left = at[more] + 8, other[more] + 8, left[more] - 8
+    if not same:
+        raw, seen = b.tobytes(), {}
+        code = np.fromiter((seen.setdefault(raw[i:j], len(seen)) for i, j in zip(start.tolist(), end.tolist())), np.int64, len(n))
+        one = np.empty(len(seen), np.int64)
+        one[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+    return code, one
 
 
 def ragged(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -200,7 +236,8 @@ class Encoder:
 
     def __init__(self, path: str):
         self.enc = encoding(path)
-        self.cache: dict[int, tuple[int, ...]] = {}
+        self.cache: dict[bytes, tuple[int, ...]] = {}
+        self.held = 0
 
     def words(self, b: np.ndarray, docs: np.ndarray):
         """Pre-tokens of a slice: hash of each, start, end; None where the slice needs the library."""
@@ -211,8 +248,6 @@ class Encoder:
         return hashes(b, at, end), at, end
 
     def _slice(self, b: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        import pandas as pd
-
         filled = docs[np.diff(np.append(docs, len(b))) > 0]
         if not len(filled):
             return np.zeros(0, np.uint32), np.zeros(len(docs), np.int64)
@@ -223,16 +258,16 @@ class Encoder:
             n = np.array([len(x) for x in ids], np.int64)
             return np.fromiter((y for x in ids for y in x), np.uint32, int(n.sum())), n
         h, at, end = found
-        code, unique = pd.factorize(h)
-        one = np.empty(len(unique), np.int64)
-        one[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-        if len(self.cache) > CACHE_WORDS:
+        code, one = distinct(b, at, end, h)
+        if len(self.cache) > CACHE_WORDS or self.held > CACHE_BYTES:
             self.cache.clear()
-        keys, raw = unique.tolist(), b.tobytes()
+            self.held = 0
+        raw = b.tobytes()
+        keys = [raw[i:j] for i, j in zip(at[one].tolist(), end[one].tolist())]
         got = list(map(self.cache.get, keys))
         for k in [k for k, x in enumerate(got) if x is None]:
-            w = one[k]
-            got[k] = self.cache[keys[k]] = tuple(self.enc._encode_single_piece(raw[at[w] : end[w]]))
+            got[k] = self.cache[keys[k]] = tuple(self.enc._encode_single_piece(keys[k]))
+            self.held += len(keys[k])
         n = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter((y for x in got for y in x), np.uint32, int(n.sum()))
         each = n[code]

@@ -47,24 +47,19 @@ class _Block:
     """Documents as sequences of numbers of this block's distinct words."""
 
     def __init__(self):
-        self.number: dict[int, int] = {}
+        self.number: dict[bytes, int] = {}
         self.hash: list[np.ndarray] = []
         self.word: list[np.ndarray] = []
         self.size: list[np.ndarray] = []
         self.bytes = 0
 
     def add(self, h: np.ndarray, b: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
-        code, unique = pd.factorize(h)
-        one = np.empty(len(unique), np.int64)
-        one[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-        known = len(self.number)
-        keys = unique.tolist()
-        get = self.number.setdefault
-        numbers = np.fromiter((get(k, len(self.number)) for k in keys), np.int64, len(keys))
-        new = numbers >= known
-        w = one[new]
+        code, one = bpe.distinct(b, at, end, h)
+        known, raw, get = len(self.number), b.tobytes(), self.number.setdefault
+        numbers = np.fromiter((get(raw[i:j], len(self.number)) for i, j in zip(at[one].tolist(), end[one].tolist())), np.int64, len(one))
+        w = one[numbers >= known]
         n = end[w] - at[w]
-        self.hash.append(unique[new])
+        self.hash.append(h[w])
         self.word.append(b[bpe.ragged(at[w], n)])
         self.size.append(n.astype(np.uint32))
         return numbers[code].astype(np.uint32)
