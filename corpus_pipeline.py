@@ -8,14 +8,12 @@ hold each stage against a brute-force version.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import near_dedup, packing, secrets, toxicity
 from quillspark.llm.queries import VOCABULARY
-from quillspark.llm.shared import shared_folder, table
+from quillspark.llm.shared import new_folder, table
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +42,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    where = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    where = new_folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{where}/{name}")
