@@ -1,19 +1,26 @@
 """Toxicity by a weighted lexicon matched with Aho-Corasick.
 
-Texts are folded first: lower case, homoglyphs and combining marks to their Latin letters, digits
-and signs that stand in for letters to those letters. Lexicon terms are word beginnings; their
-weights are log-odds of labelled training documents. The score is a logistic function of the summed
-weight over the square root of the length, so one term in a long text counts less than in a short
-one, and exception phrases take back the terms inside them.
-
-The lexicon is learned by counting the word beginnings of labelled training documents, at most about
-TRAIN_ROWS of them (partial sums before the shuffle); only terms of sufficient support and odds reach the driver, at most
-MAX_TERMS (seed terms always). Null and empty texts score the base rate's lower end: 0.0. Repeated
-rows score alike; a table without labels leaves the seed lexicon. Other columns are ignored.
+Texts are folded first: lower case, invisible characters and combining marks dropped, homoglyphs and
+letters with marks to their Latin letters, digits and signs that stand in for letters to those letters.
+Lexicon terms are word beginnings: what stands before one in the text itself must be no letter, and
+a sign is none, so a term counts after "@" or "!" too. Weights are log-odds of labelled training
+documents. Of several terms at one place the heaviest counts. Exception phrases, which must end with
+a word, take back the terms inside them. The score is a logistic function of the summed weight by
+the square root of the length in units of SHORT_TEXT characters (one at least).
+
+The lexicon is learned by counting the word beginnings of labelled training documents, with partial
+sums before the shuffle. Where there are more than TRAIN_ROWS labelled rows it learns from a sample of
+about as many, by a hash of their ids; this alone bounds the terms that reach the driver, which are all
+of sufficient support and odds. Null and empty texts score 0.0, and so do texts without a term. Texts
+of any length are scored whole. Repeated rows score alike; a document with several labels counts as
+toxic if one says so, ties in odds do not matter; a table without labels leaves the seed lexicon.
+Other columns stay as they are; a column that has the name of an added one is replaced.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import unicodedata
 from functools import lru_cache
@@ -22,15 +29,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .shared import cut
 
 #: Seed terms and their weight, and phrases in which a term is no insult.
 SEEDS = ["idiot", "moron", "loser", "pathetic", "worthless", "disgusting", "stupid", "scum", "trash", "clown"]
 SEED_WEIGHT = 3.0
-EXCEPTIONS = ["trash can", "trash bin", "clown fish", "clownfish", "class clown", "scumble"]
+EXCEPTIONS = ["trash can", "trash cans", "trash bin", "trash bins", "clown fish", "clownfish", "class clown", "scumble"]
 #: Look-alikes of Latin letters, and digits and signs used for letters.
 HOMOGLYPHS = dict(zip("аеорсухкмтвнізјѕԁɡαεοιρυκντ", "aeopcyxkmtbhiejsdgaeoipyknt"))
 DIGITS = dict(zip("013457@$!|", "oieastasii"))
-MAX_TERMS = 20_000
 SHORTEST, LONGEST = 4, 12
 #: Labelled rows learned from, about: where there are more, a sample by the hash of their ids. This
 #: bounds the label table that is broadcast and the counts that are shuffled.
@@ -40,21 +49,17 @@ SUPPORT, LEAST_ODDS = 5, 3.0
 
 
 @lru_cache(maxsize=1)
-def fold_table() -> dict[int, str]:
-    """Every letter with marks to its base letter, by Unicode decomposition, besides the look-alikes."""
+def fold_table() -> tuple[dict[int, None], dict[int, str]]:
+    """Characters that are dropped, and what others become, one letter each."""
+    gone = dict.fromkeys([*range(0x300, 0x370), 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD])
     t: dict[int, str] = {}
-    for c in range(0xC0, 0x250):
+    for c in range(0xC0, 0x250):  # letters with marks to their base letter, by Unicode decomposition
         base = unicodedata.normalize("NFKD", chr(c))[0]
         if base != chr(c) and base.isascii() and base.isalpha():
             t[c] = base.lower()
     for c in range(0xFF21, 0xFF5B):
-        t[c] = unicodedata.normalize("NFKC", chr(c)).lower()
-    for c in range(0x300, 0x370):
-        t[c] = ""
-    for c in (0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD):
-        t[c] = ""
-    t |= {ord(k): v for k, v in HOMOGLYPHS.items()} | {ord(k): v for k, v in DIGITS.items()}
-    return t
+        t[c] = unicodedata.normalize("NFKC", chr(c)).lower()[0]
+    return gone, t | {ord(k): v for k, v in HOMOGLYPHS.items()} | {ord(k): v for k, v in DIGITS.items()}
 
 
 @lru_cache(maxsize=1)
@@ -64,10 +69,20 @@ def _signs():
     return re.compile("[^\x00-\x7f]|[013457@$!|]")
 
 
-def fold(text: str) -> str:
-    """Folded text; 1 stands for i and l alike, so these fold to one letter, in terms too."""
+def folded(text: str) -> tuple[str, str]:
+    """(folded text, the lower-case text it comes from), alike in length. 1 stands for i and l, so these
+    fold to one letter, in terms too."""
     low = text.lower()
-    return (low.translate(fold_table()) if _signs().search(low) else low).replace("l", "i")
+    if not _signs().search(low):
+        return low.replace("l", "i"), low
+    gone, to = fold_table()
+    if not low.isascii():
+        low = low.translate(gone)
+    return low.translate(to).replace("l", "i"), low
+
+
+def fold(text: str) -> str:
+    return folded(text)[0]
 
 
 @lru_cache(maxsize=1)
@@ -110,15 +125,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     counted = rows.mapInArrow(count, "term string, y int, n long").groupBy("term").agg(
         F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("neg")
     )
-    from .shared import cut
-
     counted = cut(counted.where((F.col("pos") >= SUPPORT) | (F.col("term") == "")))
     total = counted.where("term = ''").first()
     pos, neg = (total["pos"], total["neg"]) if total else (0, 0)
     odds = F.log((F.col("pos") + 0.5) / (pos + 1) / ((F.col("neg") + 0.5) / (neg + 1)))
     # a term without counter-examples must be likelier toxic than chance: bound on its odds below
     sure = odds - 1.64 * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    found = counted.where("term <> ''").withColumns({"odds": odds, "sure": sure}).where((F.col("odds") >= LEAST_ODDS) & (F.col("sure") >= 2.5)).orderBy(F.desc("pos"), "term").limit(MAX_TERMS).collect()
+    found = counted.where("term <> ''").withColumns({"odds": odds, "sure": sure}).where((F.col("odds") >= LEAST_ODDS) & (F.col("sure") >= 2.5)).collect()
     out: dict[str, float] = dict.fromkeys(map(fold, SEEDS), SEED_WEIGHT)
     for r in sorted(found, key=lambda r: (len(r["term"]), r["term"])):
         t = r["term"]
@@ -141,53 +154,54 @@ def matcher(lexicon: dict[str, float]):
 
 
 def raw_score(text: str, a) -> tuple[float, int]:
-    """Summed weight of distinct positions, and hits."""
-    t = fold(text)
+    """Summed weight of distinct places, and how many they are."""
+    t, low = folded(text)
     hits, spared = [], []
     for end, (n, w) in a.iter(t):
         at = end - n + 1
-        if w is None:
-            spared.append((at, end))
-        elif at == 0 or not t[at - 1].isalpha():
+        if at and low[at - 1].isalpha() or at and low[at - 1].isdigit() and t[at - 1].isalpha():
+            continue  # inside a word
+        if w is not None:
             hits.append((at, end, w))
+        elif end + 1 == len(t) or not t[end + 1].isalpha():
+            spared.append((at, end))
     if spared:
-        hits = [h for h in hits if not any(s <= h[0] and h[1] <= e for s, e in spared)]
+        spared.sort()
+        starts, far = [s for s, _ in spared], list(itertools.accumulate((e for _, e in spared), max))
+        hits = [h for h in hits if not (k := bisect.bisect_right(starts, h[0])) or far[k - 1] < h[1]]
     best: dict[int, float] = {}
     for at, _, w in hits:
         best[at] = max(w, best.get(at, 0.0))
     return sum(best.values()), len(best)
 
 
-#: The logistic curve: score 0.5 at this weight for a text of up to 250 characters.
-MIDDLE, SLOPE, SHORT_TEXT = 5.0, 1.1, 250
+#: The logistic curve: score 0.5 at this weight for a text of up to SHORT_TEXT characters.
+MIDDLE, SLOPE, SHORT_TEXT = 4.7, 1.1, 500
 
 
 def squash(weight: float, chars: int) -> float:
     if weight <= 0:
         return 0.0
-    density = weight / (max(1.0, chars / SHORT_TEXT) ** 0.12)
-    return 1 / (1 + math.exp(-SLOPE * (density - MIDDLE)))
+    return 1 / (1 + math.exp(-SLOPE * (weight / max(1.0, chars / SHORT_TEXT) ** 0.5 - MIDDLE)))
 
 
 def score(docs: DataFrame, lexicon: dict[str, float], text: str = "text", out: str = "score") -> DataFrame:
-    """docs with a score between 0 and 1 and the number of matched terms (``out``_hits)."""
-    names = docs.columns
+    """docs with a score between 0 and 1 and the number of places matched (``out``_hits)."""
+    docs = docs.withColumn("__text", F.col(text)).drop(out, f"{out}_hits")
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
-    at = names.index(text)
 
     def run(batches):
         a = matcher(sent.value)
         for b in batches:
             s, n = [], []
-            for t in b.column(at).to_pylist():
-                w, k = raw_score(t or "", a)
-                s.append(squash(w, len(t or "")))
+            for t in b.column(b.num_columns - 1):
+                t = t.as_py() or ""
+                w, k = raw_score(t, a)
+                s.append(squash(w, len(t)))
                 n.append(k)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array(n, pa.int64())], [*b.schema.names, out, f"{out}_hits"])
-
-    from pyspark.sql import types as T
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64()), pa.array(n, pa.int64())], [*b.schema.names[:-1], out, f"{out}_hits"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType()), T.StructField(f"{out}_hits", T.LongType())])
+    schema = T.StructType([*docs.schema.fields[:-1], T.StructField(out, T.DoubleType()), T.StructField(f"{out}_hits", T.LongType())])
     return docs.mapInArrow(run, schema)
 
 
