@@ -19,7 +19,7 @@ from quillspark.llm.shared import new_folder, table
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxicity reaches the threshold; the lexicon comes from the labels."""
     lexicon = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, lexicon).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    return toxicity.score(docs, lexicon, out="__toxicity").where(F.col("__toxicity") < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
