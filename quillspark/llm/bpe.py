@@ -19,7 +19,7 @@ import numpy as np
 #: is a pre-token boundary, so memory does not grow with the longest text.
 SLICE_BYTES = 1 << 20
 #: Distinct words, and bytes of them, remembered by a worker before its cache starts anew.
-CACHE_WORDS, CACHE_BYTES = 400_000, 16 << 20
+CACHE_WORDS, CACHE_BYTES = 200_000, 8 << 20
 
 _L, _N, _S, _O, _E = 1, 2, 3, 4, 5  # letter, number, space, other, not handled here
 

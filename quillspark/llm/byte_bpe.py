@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .shared import cut, parts
+from .shared import cut, lean, parts
 
 #: Bytes of text that a block of documents gathers before it is closed (after a whole document).
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -172,7 +172,7 @@ def encode_docs(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
             out.append((block, pack(steps, n, np.fromiter((y for x in got for y in x), np.uint32, int(n.sum())), mark)))
         return pd.DataFrame(out, columns=["block", "blob"])
 
-    words = split.mapInArrow(_split(path, buckets, True), SCHEMA).select("bucket", "block", "blob").groupBy("bucket").applyInPandas(merge, "block long, blob binary")
+    words = split.mapInArrow(lean(_split(path, buckets, True)), SCHEMA).select("bucket", "block", "blob").groupBy("bucket").applyInPandas(merge, "block long, blob binary")
 
     def assemble(texts: pd.DataFrame, dictionary: pd.DataFrame) -> pd.DataFrame:
         number, n, ids, marks = [], [], [], 0
@@ -200,7 +200,7 @@ def encode_docs(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
         whole = [(k, b"".join(x)) for k, x in out]
         return pd.DataFrame({"doc_id": pd.array([None if pd.isna(k) else int(k) for k, _ in whole], "Int64"), "n_tokens": [len(x) // 4 for _, x in whole], "ids": [x for _, x in whole]})
 
-    texts = split.mapInArrow(_split(path, buckets, False), SCHEMA).select("block", "doc_id", "doc", "ord", "blob")
+    texts = split.mapInArrow(lean(_split(path, buckets, False)), SCHEMA).select("block", "doc_id", "doc", "ord", "blob")
     got = texts.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(assemble, "doc_id long, n_tokens long, ids binary")
     return got
 
@@ -217,4 +217,4 @@ def decode_docs(ids: DataFrame, path: str) -> DataFrame:
                 out.append(table[bpe.ragged(start[i], size[i])].tobytes() if len(i) else b"")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "decoded"])
 
-    return ids.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return ids.select("doc_id", "n_tokens", "ids").mapInArrow(lean(run), "doc_id long, n_tokens long, ids binary, decoded binary")

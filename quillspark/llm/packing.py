@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Encoder
-from .shared import cut
+from .shared import cut, lean
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -36,7 +36,7 @@ def pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str = "do
 
     def run(batches):
         e = Encoder(path)
-        for b in batches:
+        for b in (w.slice(k, 1024) for w in batches for k in range(0, w.num_rows, 1024)):
             key, rows, ids_out = b.column(0), [], []
             end = np.array([end_id], np.uint32)
             for k, ids in enumerate(e.encode(b.column(1))):
@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str = "do
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([*cols, *([pa.array(ids_out, pa.binary())] if keep_ids else [])], [*names, *(["ids"] if keep_ids else [])])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, PIECES + (", ids binary" if keep_ids else ""))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(lean(run), PIECES + (", ids binary" if keep_ids else ""))
 
 
 def bound(counts: dict[int, int], size: int) -> int:
@@ -316,7 +316,7 @@ def pack(found: DataFrame, size: int) -> DataFrame:
 
     ranked_names = ranked.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name in names)
-    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(run), f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2, keep_ids: bool = False) -> DataFrame:

@@ -63,5 +63,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def lean(run):
+    """run for mapInArrow, after which the worker gives the memory it freed back to the system: workers
+    live on from stage to stage beside the executor's heap."""
+
+    def trimmed(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # the C library may have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return trimmed
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

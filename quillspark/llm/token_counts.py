@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Encoder
+from .shared import lean
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
@@ -21,7 +22,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", out: str = "n_t
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(e.counts(b.column(0)))], [out])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, f"{out} long")
+    return docs.select(F.col(text).alias("text")).mapInArrow(lean(run), f"{out} long")
 
 
 def length_histogram(lengths: DataFrame, col: str = "n_tokens") -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut
+from .shared import cut, lean
 
 #: Seed terms and their weight, and phrases in which a term is no insult.
 SEEDS = ["idiot", "moron", "loser", "pathetic", "worthless", "disgusting", "stupid", "scum", "trash", "clown"]
@@ -122,7 +122,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
                     yield from out()
         yield from out()
 
-    counted = rows.mapInArrow(count, "term string, y int, n long").groupBy("term").agg(
+    counted = rows.mapInArrow(lean(count), "term string, y int, n long").groupBy("term").agg(
         F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("neg")
     )
     counted = cut(counted.where((F.col("pos") >= SUPPORT) | (F.col("term") == "")))
@@ -187,22 +187,21 @@ def squash(weight: float, chars: int) -> float:
 
 def score(docs: DataFrame, lexicon: dict[str, float], text: str = "text", out: str = "score") -> DataFrame:
     """docs with a score between 0 and 1 and the number of places matched (``out``_hits)."""
-    docs = docs.withColumn("__text", F.col(text)).drop(out, f"{out}_hits")
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon)
+    names, sent = docs.columns, docs.sparkSession.sparkContext.broadcast(lexicon)
+    at, stay = names.index(text), [k for k, c in enumerate(names) if c not in (out, f"{out}_hits")]
 
     def run(batches):
         a = matcher(sent.value)
-        for b in batches:
+        for b in (w.slice(k, 1024) for w in batches for k in range(0, w.num_rows, 1024)):
             s, n = [], []
-            for t in b.column(b.num_columns - 1):
-                t = t.as_py() or ""
-                w, k = raw_score(t, a)
-                s.append(squash(w, len(t)))
+            for t in b.column(at).to_pylist():
+                w, k = raw_score(t or "", a)
+                s.append(squash(w, len(t or "")))
                 n.append(k)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64()), pa.array(n, pa.int64())], [*b.schema.names[:-1], out, f"{out}_hits"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in stay), pa.array(s, pa.float64()), pa.array(n, pa.int64())], [*(names[k] for k in stay), out, f"{out}_hits"])
 
-    schema = T.StructType([*docs.schema.fields[:-1], T.StructField(out, T.DoubleType()), T.StructField(f"{out}_hits", T.LongType())])
-    return docs.mapInArrow(run, schema)
+    schema = T.StructType([*(docs.schema.fields[k] for k in stay), T.StructField(out, T.DoubleType()), T.StructField(f"{out}_hits", T.LongType())])
+    return docs.mapInArrow(lean(run), schema)
 
 
 def held_out(id_col: str = "doc_id"):
