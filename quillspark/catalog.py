@@ -327,13 +327,8 @@ def f12(spark, d):
     return files.narrowed(chunks(spark, d), node_types=["function", "method"]).select("doc_id")
 
 
-@query("f13_jobs", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_custkey % 10 = 1 ORDER BY o_orderdate DESC NULLS LAST, o_orderkey")
+@query("f13_jobs", "SELECT o_custkey AS project_id, o_orderkey, o_orderdate FROM orders ORDER BY project_id, o_orderdate DESC NULLS LAST, o_orderkey")
 def f13(spark, d):
-    return read(spark, d, "orders").where("o_custkey % 10 = 1").select("o_orderkey", "o_orderdate").orderBy(F.desc_nulls_last("o_orderdate"), "o_orderkey")
-
-
-@query("f13_jobs_by_project", "SELECT o_custkey AS project_id, o_orderkey, o_orderdate FROM orders ORDER BY project_id, o_orderdate DESC NULLS LAST, o_orderkey")
-def f13_by_project(spark, d):
     return read(spark, d, "orders").select(F.col("o_custkey").alias("project_id"), "o_orderkey", "o_orderdate").orderBy("project_id", F.desc_nulls_last("o_orderdate"), "o_orderkey")
 
 
@@ -375,8 +370,9 @@ def o2(spark, d):
 @query("a5_corpus_stats", f"WITH {BM25_CTE} SELECT (SELECT count(*) FROM dl) AS docs, round((SELECT avg(dl) FROM dl), 6) AS avgdl, (SELECT count(*) FROM df) AS terms, (SELECT CAST(sum(df) AS BIGINT) FROM df) AS postings")
 def a5(spark, d):
     docs = read(spark, d, "documents")
-    p = retrieval.postings(docs, "doc_id", "text")
-    return p.groupBy("term").agg(F.count("*").alias("df")).agg(F.count("*").alias("terms"), F.sum("df").alias("postings")).crossJoin(docs.agg(F.count("*").alias("docs"), F.round(F.avg(F.size(text.tokens(F.col("text")))), 6).alias("avgdl")))
+    stats = retrieval.corpus_stats(retrieval.spread(docs.select(text.tokens(F.col("text")).alias("t"))))
+    rest, whole = stats.where("term <> ''").agg(F.count("*").alias("terms"), F.sum("df").alias("postings")), stats.where("term = ''")
+    return rest.crossJoin(whole.select(F.col("df").alias("docs"), F.round(F.col("dl") / F.col("df"), 6).alias("avgdl")))
 
 
 DENSE_CTE = """
@@ -416,20 +412,10 @@ def e2(spark, d):
     return retrieval.rerank(c).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
-@query("j3_symbols", """WITH k AS (SELECT p_partkey AS query_id, lower(split_part(p_name, ' ', 1)) AS keyword FROM part WHERE p_partkey % 97 = 1),
-h AS (SELECT query_id, keyword, 'r::' || p_brand || '::' || p_name AS fqn, p_partkey AS ord FROM k JOIN part ON contains(list_last(string_split('r::' || p_brand || '::' || p_name, '::')), keyword)),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, keyword ORDER BY ord, fqn) AS INTEGER) AS n FROM h) SELECT * FROM r WHERE n <= 5""")
-def j3(spark, d):
-    part = read(spark, d, "part")
-    names = part.select(F.concat(F.lit("r::"), "p_brand", F.lit("::"), "p_name").alias("fqn"), F.col("p_partkey").alias("ord"))
-    keys = part.where("p_partkey % 97 = 1").select(F.col("p_partkey").alias("query_id"), F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("keyword"))
-    return retrieval.symbols(names, keys).select("query_id", "keyword", "fqn", "ord", "n")
-
-
-@query("j3_symbols_all", """WITH k AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS keyword FROM part),
+@query("j3_symbols", """WITH k AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS keyword FROM part),
 h AS (SELECT keyword, 'r::' || p_brand || '::' || p_name AS fqn, p_partkey AS ord FROM k JOIN part ON contains(list_last(string_split('r::' || p_brand || '::' || p_name, '::')), keyword)),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY keyword ORDER BY ord, fqn) AS INTEGER) AS n FROM h) SELECT * FROM r WHERE n <= 5""")
-def j3_all(spark, d):
+def j3(spark, d):
     part = read(spark, d, "part")
     names = part.select(F.concat(F.lit("r::"), "p_brand", F.lit("::"), "p_name").alias("fqn"), F.col("p_partkey").alias("ord"))
     keyword = F.lower(F.split_part("p_name", F.lit(" "), F.lit(1)))
@@ -447,7 +433,8 @@ def e1(spark, d):
 u AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM t) SELECT query_id, rank, id, used FROM u WHERE used <= 3000""")
 def w3(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    return context.budgeted(retrieval.bm25(read(spark, d, "documents"), bench_queries(spark, d)).join(docs, "id"), 3000).select("query_id", "rank", "id", "used")
+    top = retrieval.bm25(read(spark, d, "documents"), bench_queries(spark, d))
+    return context.budgeted(docs.join(retrieval.small(top), "id"), 3000).select("query_id", "rank", "id", "used")
 
 
 @query("p10_format", "SELECT doc_id, sha256('# ' || source || '/' || 'f' || doc_id || '  L1-9  commit:' || substr(sha256(text), 1, 8) || chr(10) || '```' || lang || chr(10) || text || chr(10) || '```') AS block_hash FROM documents")
@@ -463,14 +450,17 @@ def p11(spark, d):
     return r.select("doc_id", "r.file_path", "r.commit_hash", "r.relevance_score")
 
 
-@query("w4_greedy_callers")
+@query("w4_greedy_callers", """WITH RECURSIVE r AS (SELECT user_id AS query_id, event_id AS ord, event_id * 37 % 300 + 1 AS tokens, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+f(query_id, n, room, taken) AS (SELECT DISTINCT query_id, 0::BIGINT, 400::BIGINT, []::INTEGER[] FROM r
+UNION ALL SELECT f.query_id, f.n + 1, CASE WHEN tokens <= room THEN room - tokens ELSE room END, CASE WHEN tokens <= room THEN list_append(taken, CAST(ord AS INTEGER)) ELSE taken END FROM f JOIN r ON r.query_id = f.query_id AND r.n = f.n + 1)
+SELECT query_id, arg_max(taken, n) AS taken, arg_max(room, n) AS "left" FROM f GROUP BY 1""")
 def w4(spark, d):
     e = read(spark, d, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("ord"), (F.col("event_id") * 37 % 300 + 1).alias("tokens"))
     return context.greedy_callers(e, 400)
 
 
-@query("p24_w2_history", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations)
-SELECT conv_id, sha256('Conversation so far:' || chr(10) || string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || text, chr(10) ORDER BY turn) || chr(10) || 'User: next' || chr(10) || 'Assistant:') AS prompt_hash, count(*) AS turns FROM r WHERE n <= 3 GROUP BY 1""")
+@query("p24_w2_history", f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations)
+SELECT conv_id, sha256({_q(context.HISTORY_NOTE)} || chr(10) || chr(10) || string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || text, chr(10) ORDER BY turn) || chr(10) || 'User: next' || chr(10) || 'Assistant:') AS prompt_hash, count(*) AS turns FROM r WHERE n <= 3 GROUP BY 1""")
 def p24(spark, d):
     h = gateway.last_turns(read(spark, d, "conversations"), 3)
     return h.select("conv_id", F.sha2(context.transcript(F.col("history"), F.lit("next")), 256).alias("prompt_hash"), F.size("history").cast("long").alias("turns"))
@@ -478,18 +468,23 @@ def p24(spark, d):
 
 # --- evaluation --------------------------------------------------------------------------------
 EVAL_CTE = f"""{BM25_CTE},
-ex AS (SELECT b.item_id AS query_id, list(doc_id ORDER BY doc_id) AS expected FROM benchmark b JOIN documents d ON contains(d.text, b.text[:80]) GROUP BY 1),
+ex AS (SELECT b.item_id AS query_id, list(doc_id ORDER BY doc_id) AS expected FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1),
 rt AS (SELECT query_id, list(id ORDER BY rank) AS retrieved FROM bm WHERE rank <= 5 GROUP BY 1),
-ev AS (SELECT query_id, len(list_intersect(expected, retrieved)) / len(expected) AS recall, len(list_intersect(expected, retrieved)) / len(retrieved) AS precision,
-  coalesce(1 / list_min([i FOR x, i IN retrieved IF list_contains(expected, x)]), 0) AS rr, CASE WHEN query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category FROM ex JOIN rt USING (query_id))"""
+al AS (SELECT item_id AS query_id, coalesce(expected, []) AS expected, coalesce(retrieved, []) AS retrieved FROM benchmark LEFT JOIN ex ON ex.query_id = item_id LEFT JOIN rt ON rt.query_id = item_id),
+ev AS (SELECT query_id, CASE WHEN len(expected) > 0 THEN len(list_intersect(expected, retrieved)) / len(expected) ELSE 0 END AS recall,
+  CASE WHEN len(retrieved) > 0 THEN len(list_intersect(expected, retrieved)) / len(retrieved) ELSE 0 END AS precision,
+  coalesce(1 / list_min([i FOR x, i IN retrieved IF list_contains(expected, x)]), 0) AS rr, CASE WHEN query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category FROM al)"""
 
 
 def eval_cases(spark, d) -> DataFrame:
     docs, q = read(spark, d, "documents"), bench_queries(spark, d)
-    hit = docs.join(retrieval.small(q), F.contains(docs.text, F.substring("query", 1, 80)))
+    hit = retrieval.spread(docs.select("doc_id", "text")).join(retrieval.small(q), F.contains("text", "query"))
     exp = hit.groupBy("query_id").agg(F.array_sort(F.collect_list("doc_id")).alias("expected"))
     got = retrieval.bm25(docs, q).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("retrieved"))
-    return exp.join(got, "query_id").withColumns({"case_ord": F.col("query_id"), "category": F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd")})
+    none = F.array().cast("array<long>")
+    cases = q.select("query_id").join(exp, "query_id", "left").join(got, "query_id", "left")
+    cases = cases.withColumns({"expected": F.coalesce("expected", none), "retrieved": F.coalesce("retrieved", none)})
+    return cases.withColumns({"case_ord": F.col("query_id"), "category": F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd")})
 
 
 @query("a7_a9_per_case", f"WITH {EVAL_CTE} SELECT query_id, round(recall, 6) AS recall, round(precision, 6) AS precision, round(rr, 6) AS rr FROM ev")
@@ -519,13 +514,15 @@ def o5(spark, d):
     return evaluation.seeded_sample(read(spark, d, "documents"), "doc_id", 100).select("doc_id")
 
 
-@query("p27_p28_heuristics", """SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL WHEN p_size % 3 = 0 THEN 'How does ' || p_brand || '.' || p_name || ' work in sql?' ELSE 'What does the ' || p_name || ' function do?' END AS query,
+@query("p27_p28_heuristics", """SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL WHEN p_size % 3 = 0 THEN 'How does ' || p_brand || '.' || p_name || ' work in sql?'
+WHEN p_size % 7 = 1 THEN 'Makes a ' || p_type || '?' WHEN p_size % 2 = 0 THEN 'Where is ' || p_brand || ' called in sql?' ELSE 'What does the ' || p_name || ' function do?' END AS query,
 CASE WHEN regexp_matches(lower(p_name), 'auth|login|password|token|encrypt') THEN 'security' WHEN regexp_matches(lower(p_name), 'test|spec|assert|mock') THEN 'testing' WHEN regexp_matches(lower(p_type), 'exception|error|raise|panic|throw') THEN 'debugging' ELSE 'general' END AS category FROM part""")
 def p27(spark, d):
-    p = read(spark, d, "part")
-    name = F.when(F.col("p_size") % 5 == 0, "anonymous").otherwise(F.col("p_name"))
-    parent = F.when(F.col("p_size") % 3 == 0, F.col("p_brand"))
-    return p.select("p_partkey", evaluation.heuristic_query(name, parent, F.lit(None).cast("string"), F.array().cast("array<string>"), F.lit("sql")).alias("query"), evaluation.category(F.col("p_name"), F.col("p_type")).alias("category"))
+    p, size = read(spark, d, "part"), F.col("p_size")
+    name = F.when(size % 5 == 0, "anonymous").otherwise(F.col("p_name"))
+    doc = F.when(size % 7 == 1, F.concat(F.lit("Makes a "), "p_type", F.lit(". More."))).when(size % 7 == 2, "Short.")
+    calls = F.when(size % 2 == 0, F.array("p_brand", "p_name")).otherwise(F.array().cast("array<string>"))
+    return p.select("p_partkey", evaluation.heuristic_query(name, F.when(size % 3 == 0, F.col("p_brand")), doc, calls, F.lit("sql")).alias("query"), evaluation.category(F.col("p_name"), F.col("p_type")).alias("category"))
 
 
 # --- aggregations, windows, maintenance ---------------------------------------------------------
@@ -553,29 +550,21 @@ def a13(spark, d):
     return maintenance.dedup_first(c, "chunk_hash", "doc_id").select("doc_id")
 
 
-@query("a14_job_counters", "SELECT source, count(*) AS files_total, count(*) FILTER (n_chars > 500) AS files_indexed, count(*) FILTER (n_chars <= 500) AS files_skipped, CAST(sum(length(text) // 1000) AS BIGINT) AS chunks FROM documents GROUP BY 1")
-def a14(spark, d):
-    return read(spark, d, "documents").groupBy("source").agg(F.count("*").alias("files_total"), F.count_if(F.col("n_chars") > 500).alias("files_indexed"), F.count_if(F.col("n_chars") <= 500).alias("files_skipped"), F.sum(F.floor(F.length("text") / 1000)).cast("long").alias("chunks"))
-
-
-@query("a15_findings", "SELECT l_shipmode AS file, n, rules FROM (SELECT l_returnflag AS l_shipmode, count(*) AS n, array_to_string(list_sort(list(l_linestatus || l_linenumber)), ',') AS rules FROM lineitem WHERE l_orderkey < 50 GROUP BY 1)")
-def a15(spark, d):
-    f = read(spark, d, "lineitem").where("l_orderkey < 50").select(F.col("l_returnflag").alias("file"), F.concat("l_linestatus", F.col("l_linenumber").cast("string")).alias("rule_id"))
-    each = F.flatten(F.transform("rules", lambda r: F.array_repeat(r["rule_id"], r["n"].cast("int"))))
-    return gateway.findings_by_file(f).withColumn("rules", F.array_join(each, ","))
-
-
-@query("a15_findings_all", """SELECT file, CAST(sum(n) AS BIGINT) AS n, string_agg(rule || ':' || n, ',' ORDER BY rule) AS rules
+@query("a15_findings", """SELECT file, CAST(sum(n) AS BIGINT) AS n, string_agg(rule || ':' || n, ',' ORDER BY rule) AS rules
 FROM (SELECT l_returnflag AS file, l_linestatus || l_linenumber AS rule, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1""")
-def a15_all(spark, d):
+def a15(spark, d):
     f = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("file"), F.concat("l_linestatus", F.col("l_linenumber").cast("string")).alias("rule_id"))
     each = F.transform("rules", lambda r: F.concat_ws(":", r["rule_id"], r["n"].cast("string")))
     return gateway.findings_by_file(f).withColumn("rules", F.array_join(each, ","))
 
 
-@query("w5_quota")
+@query("w5_quota", """WITH RECURSIVE r AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f(user_id, n, event_id, ts, admitted, kept) AS (SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, NULL::TIMESTAMP, false, []::TIMESTAMP[] FROM r
+UNION ALL SELECT r.user_id, r.n, r.event_id, r.ts, len([x FOR x IN kept IF x >= r.ts - INTERVAL 1 DAY]) < 3,
+  CASE WHEN len([x FOR x IN kept IF x >= r.ts - INTERVAL 1 DAY]) < 3 THEN list_append([x FOR x IN kept IF x >= r.ts - INTERVAL 1 DAY], r.ts) ELSE [x FOR x IN kept IF x >= r.ts - INTERVAL 1 DAY] END FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1)
+SELECT user_id, event_id, admitted FROM f WHERE n > 0""")
 def w5(spark, d):
-    return gateway.admitted(read(spark, d, "events"), 3, 86400)
+    return gateway.admitted(read(spark, d, "events"), 3, 86400).select("user_id", "event_id", "admitted")
 
 
 @query("w6_demand", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts)) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS in_window FROM events")
@@ -707,18 +696,15 @@ def g4(spark, d):
     return graph.context(part_edges(spark, d)).withColumn("called_by", F.array_join("called_by", ","))
 
 
-@query("j6_cache_lookup", "SELECT q.vec_id AS query_id, arg_max(c.vec_id, struct_pack(s := round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 9), i := -c.vec_id)) AS hit FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 AND list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) >= 0.2 GROUP BY 1")
-def j6(spark, d):
-    e = read(spark, d, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
-    s = e.join(q, "label").where("vec_id <> query_id").withColumn("sim", retrieval.cosine(F.col("embedding"), F.col("q"))).where("sim >= 0.2")
-    return s.groupBy("query_id").agg(F.max_by("vec_id", F.struct(F.round("sim", 9), -F.col("vec_id"))).alias("hit"))
-
-
-DIFFS = [(1, "diff --git a/x b/x\nindex 1..2\n--- a/x.py\n+++ b/x.py\n@@ -1 +1 @@\n-old\n+new\n same"), (2, "--- a/y\n+++ b/y\n+one\n+two"), (3, "@@ -1 @@\n-a\n b\n@@ -9 @@\n+c")]
+DIFFS = [
+    (1, "diff --git a/x b/x\nindex 1..2\n--- a/x.py\n+++ b/x.py\n@@ -1 +1 @@\n-old\n+new\n same"), (2, "--- b/y\n+++ b/y\n+one\n+two"), (3, "@@ -1 @@\n-a\n b\n@@ -9 @@\n+c"),
+    (4, "--- a/one\n+++i\n---x\n--\n++\n--- a/two\n\\ No newline"), (5, ""), (6, "--- /dev/null\n+++ b/z\n+z"),
+]
+HEAD_SQL = "(starts_with(x, '--- ') OR starts_with(x, '+++ ') OR starts_with(x, '@@') OR starts_with(x, 'diff ') OR starts_with(x, 'index '))"
+_side = lambda own, other: f"array_to_string([CASE WHEN starts_with(x, '{own}') THEN x[2:] ELSE x END FOR x IN l IF NOT {HEAD_SQL} AND NOT starts_with(x, '{other}')], chr(10))"
 
 
-@query("p25_diff")
+@query("p25_diff", f"SELECT id, coalesce(regexp_replace(list_last([x FOR x IN l IF starts_with(x, '--- ')]), '^--- [ab]/', ''), 'patched_file') AS target, {_side('-', '+')} AS before, {_side('+', '-')} AS after FROM (SELECT id, string_split(diff, chr(10)) AS l FROM {_values(DIFFS, 'id, diff')})")
 def p25(spark, d):
     return gateway.diff_sides(values(spark, DIFFS, "id int, diff string"))
 
@@ -748,7 +734,25 @@ class Shape:
             return x * k
         return inner(self.r)
 '''
-SOURCES = [("geo/shape.py", MODULE, "python"), ("q.sql", "SELECT 1", "sql"), ("empty.py", "", "python"), ("bad.py", "def (:", "python"), ("a.ts", "const x = 1", "typescript")]
+SCRIPT = """import { get } from 'net';
+
+function load(id) {
+  return get(`/x/${id}`); // }
+}
+
+const save = async (row) => {
+  await get(row);
+};
+
+class Store {
+  constructor(db) { this.db = db; }
+  find(key) {
+    if (key) { return this.db[key]; }
+    return "}";
+  }
+}
+"""
+SOURCES = [("geo/shape.py", MODULE, "python"), ("q.sql", "SELECT 1", "sql"), ("empty.py", "", "python"), ("bad.py", "def (:", "python"), ("a.ts", "const x = 1", "typescript"), ("app.js", SCRIPT, "javascript")]
 
 
 def source_files(spark) -> DataFrame:
@@ -760,29 +764,219 @@ def t1(spark, d):
     return chunking.chunk_files(spark, source_files(spark)).select("file_path", "node_type", "node_name", "start_line", "end_line", "parent_class", "docstring", F.array_join("calls", ",").alias("calls"), "chunk_id", "fqn")
 
 
-@query("t6_call_edges")
+@query("t6_call_edges", "SELECT DISTINCT 'f' || doc_id AS src, unnest(string_split(text, ' ')[1:4]) AS dst, 'calls' AS relation FROM documents")
 def t6(spark, d):
+    return graph.edges_of(read(spark, d, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("fqn"), F.slice(F.split("text", " "), 1, 4).alias("calls")))
+
+
+@query("t6_chunk_edges")
+def t6_chunks(spark, d):
     return graph.edges_of(chunking.chunk_files(spark, source_files(spark)))
 
 
-@query("g7_resolved_calls")
+@query("g7_resolved_calls", """SELECT DISTINCT e.src, n.fqn FROM (SELECT 's' || ps.l_suppkey AS src, 'mod.' || p_name AS dst FROM lineitem ps JOIN part ON p_partkey = l_partkey) e
+JOIN (SELECT p_name AS node_name, 'r::' || p_brand || '::' || p_name AS fqn FROM part) n ON list_last(string_split(e.dst, '.')) = n.node_name""")
 def g7(spark, d):
-    c = chunking.chunk_files(spark, source_files(spark))
-    return graph.resolve(graph.edges_of(c), c)
+    part = read(spark, d, "part")
+    calls = read(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("mod."), "p_name").alias("dst"))
+    return graph.resolve(calls, part.select(F.col("p_name").alias("node_name"), F.concat(F.lit("r::"), "p_brand", F.lit("::"), "p_name").alias("fqn")))
+
+
+PUSHES = [
+    (1, "push", '{"repository":{"id":7,"clone_url":"https://h/r.git"},"ref":"refs/heads/main","after":"abc","commits":[{"added":["a.py"],"modified":["b.py"]},{"added":["b.py"],"modified":["c.min.js","a.py"]}]}'),
+    (2, "Push Hook", '{"project":{"id":8,"git_http_url":"https://l/q.git"},"ref":"refs/heads/release/1.2","after":"def","commits":[{"added":[],"modified":["x.go"]},{"modified":["gone.go"]}]}'),
+    (3, "push", '{"repository":{"id":9},"commits":[]}'),
+    (4, "push", '{"project":{"id":8},"commits":[{"added":["y.py"]}]}'),
+    (5, "Push Hook", '{"project":{"id":8},"commits":[{"added":["y.py"]}]}'),
+    (6, "push", "{}"),
+]
+PUSH_SQL = f"""
+p AS (SELECT id, event_type, json(body) AS j, event_type = 'Push Hook' AS lab FROM {_values(PUSHES, 'id, event_type, body')}),
+c AS (SELECT id, unnest(CAST(j->'$.commits' AS JSON[])) AS c, generate_subscripts(CAST(j->'$.commits' AS JSON[]), 1) AS n FROM p),
+e AS (SELECT id, n, 0 AS kind, unnest(CAST(c->'$.added' AS VARCHAR[])) AS path, generate_subscripts(CAST(c->'$.added' AS VARCHAR[]), 1) AS k FROM c
+  UNION ALL SELECT id, n, 1, unnest(CAST(c->'$.modified' AS VARCHAR[])), generate_subscripts(CAST(c->'$.modified' AS VARCHAR[]), 1) FROM c),
+o AS (SELECT id, path, min(struct_pack(n := n, kind := kind, k := k)) AS seen FROM e GROUP BY 1, 2),
+f AS (SELECT id, list(path ORDER BY seen) AS paths FROM o GROUP BY 1),
+job AS (SELECT p.id, coalesce(CASE WHEN lab THEN j->>'$.project.id' ELSE j->>'$.repository.id' END, '') AS project_id, list_last(string_split(coalesce(j->>'$.ref', 'refs/heads/main'), '/')) AS branch,
+  coalesce(CASE WHEN lab THEN j->>'$.project.git_http_url' ELSE j->>'$.repository.clone_url' END, '') AS repository_url, paths, coalesce(j->>'$.after', 'unknown') AS commit_hash FROM p LEFT JOIN f USING (id)),
+jobs AS (SELECT *, project_id <> '' AND paths IS NOT NULL AS ok FROM job)"""
+
+
+def pushes(spark) -> DataFrame:
+    return gateway.push_jobs(values(spark, PUSHES, "id int, event_type string, body string"))
+
+
+@query("t7_push_jobs", f"WITH {PUSH_SQL} SELECT id, CASE WHEN ok THEN project_id END AS project_id, CASE WHEN ok THEN branch END AS branch, CASE WHEN ok THEN repository_url END AS repository_url, CASE WHEN ok THEN array_to_string(paths, ',') END AS paths, CASE WHEN ok THEN commit_hash END AS commit_hash FROM jobs")
+def t7(spark, d):
+    return pushes(spark).select("id", "job.project_id", "job.branch", "job.repository_url", F.array_join("job.changed_files", ",").alias("paths"), "job.commit_hash")
 
 
-@query("t7_push_paths", "SELECT id, array_to_string(paths, ',') AS paths FROM (VALUES (1, ['a', 'b', 'c']), (2, ['x']), (3, [])) t(id, paths)")
-def t7(spark, d):
-    bodies = [(1, '{"commits":[{"added":["a"],"modified":["b"]},{"added":["b"],"modified":["c"]}]}'), (2, '{"commits":[{"added":[],"modified":["x"]}]}'), (3, '{"commits":[]}')]
-    b = values(spark, bodies, "id int, body string").withColumn("j", F.from_json("body", "commits array<struct<added:array<string>,modified:array<string>>>"))
-    return b.select("id", F.array_join(gateway.webhook_paths(F.lit("push"), F.col("j")), ",").alias("paths"))
+TREE = [("7", "a.py", 10), ("7", "c.min.js", 10), ("7", "b.py", 600_000), ("8", "x.go", 5), ("9", "a.py", 1)]
+
 
+@query("j10_changed_files", f"""WITH {PUSH_SQL}, q AS (SELECT DISTINCT project_id, unnest(paths) AS path FROM jobs WHERE ok)
+SELECT q.project_id, q.path, CASE WHEN t.size <= 500000 AND NOT ends_with(q.path, '.min.js') THEN 'replace' ELSE 'delete' END AS action FROM q LEFT JOIN {_values(TREE, 'project_id, path, size')} t ON t.project_id = q.project_id AND t.path = q.path""")
+def j10(spark, d):
+    return gateway.changed_files(pushes(spark), values(spark, TREE, "project_id string, path string, size long"))
 
-@query("s4_branch_tip", "SELECT * FROM (VALUES ('a', 'l1'), ('b', 'r2'), ('c', 'h3'), ('d', 'unknown')) t(name, tip)")
+
+REFS = [("a", "l1", "r1", "h1"), ("b", None, "r2", "h2"), ("c", None, None, "h3"), ("d", None, None, None)]
+
+
+@query("s4_branch_tip", f"SELECT name, coalesce(local, remote, head, 'unknown') AS tip FROM {_values(REFS, 'name, local, remote, head')}")
 def s4(spark, d):
-    return readers.branch_tip(values(spark, [("a", "l1", "r1", "h1"), ("b", None, "r2", "h2"), ("c", None, None, "h3"), ("d", None, None, None)], "name string, local string, remote string, head string"))
+    return readers.branch_tip(values(spark, REFS, "name string, local string, remote string, head string"))
+
 
+# --- payloads, references, cache, counters -------------------------------------------------------
+@query("p31_ide_sources", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE source END AS file, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE CAST(n_chars AS INTEGER) END AS line, left(text, 20) AS snippet FROM documents")
+def p31(spark, d):
+    c = F.struct(F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("file"), F.when(F.col("doc_id") % 2 != 0, F.col("n_chars").cast("int")).alias("line_start"), F.lit(None).cast("int").alias("line_end"), F.substring("text", 1, 20).alias("snippet"))
+    r = read(spark, d, "documents").select("doc_id", F.explode(context.ide_sources(F.array(c))).alias("s"))
+    return r.select("doc_id", "s.file", (F.col("s.lineStart") + F.col("s.lineEnd")).alias("line"), "s.snippet")
 
-@query("flagship_retrieve")
+
+@query("p32_payload", "SELECT 'f' || doc_id AS chunk_id, text AS content, source AS project_id, CASE WHEN doc_id % 2 = 0 THEN 'C' ELSE '' END AS parent_class, '' AS docstring, 27 AS columns FROM documents")
+def p32(spark, d):
+    c = chunks(spark, d).withColumns({"chunk_id": F.concat(F.lit("f"), F.col("doc_id").cast("string")), "content": F.col("text"), "parent_class": F.when(F.col("doc_id") % 2 == 0, "C")})
+    rows = maintenance.payload(c)
+    return rows.select("chunk_id", "content", "project_id", "parent_class", "docstring", F.lit(len(rows.columns)).alias("columns"))
+
+
+@query("p33_unwrap", "SELECT CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) ELSE 'c' || doc_id END AS id, n_chars / 10.0::DOUBLE AS score, lang AS language, 'dense' AS source FROM documents")
+def p33(spark, d):
+    c, of = read(spark, d, "documents"), F.struct(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), F.col("lang").alias("language"))
+    wrapped = c.select(F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("id"), (F.col("n_chars") / 10).alias("score"), F.when(F.col("doc_id") % 3 == 0, of).alias("payload"), F.struct(of.alias("payload")).alias("result"))
+    return maintenance.unwrapped(wrapped, "dense").select("id", "score", "payload.language", "source")
+
+
+@query("p35_log_record", f"SELECT doc_id, '{{\"ts\":\"t\",\"level\":\"info\",\"event\":\"' || source || '\",\"note\":\"' || {_masked_sql('note')} || '\",\"n\":' || n_chars || '}}' AS record FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'token=' || lang ELSE lang END AS note FROM documents)")
+def p35(spark, d):
+    c = read(spark, d, "documents")
+    note = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("token="), "lang")).otherwise(F.col("lang"))
+    rows = c.select("doc_id", F.struct(F.lit("t").alias("ts"), F.lit("info").alias("level"), F.col("source").alias("event"), note.alias("note"), F.col("n_chars").alias("n")).alias("s"))
+    numbered = rows.select("s.*", "doc_id")
+    return gateway.log_records(numbered).select(F.get_json_object("record", "$.doc_id").cast("long").alias("doc_id"), F.regexp_replace("record", ',"doc_id":\\d+', "").alias("record"))
+
+
+@query("k6_cache_write", "SELECT vec_id, substr(sha256('u' || label || ':' || 'p' || vec_id % 2), 1, 16) AS rbac_hash, 'question ' || vec_id AS query_preview, TIMESTAMP '2024-01-01 01:00:00' AS expires_at FROM embeddings")
+def k6(spark, d):
+    return cached(spark, d).select(F.col("result").alias("vec_id"), "rbac_hash", "query_preview", "expires_at")
+
+
+def cached(spark, d) -> DataFrame:
+    e = read(spark, d, "embeddings")
+    asked = e.select(F.concat(F.lit("u"), F.col("label").cast("string")).alias("user_id"), F.array(F.concat(F.lit("p"), (F.col("vec_id") % 2).cast("string"))).alias("projects"), F.concat(F.lit("question "), F.col("vec_id").cast("string")).alias("query"), F.col("embedding").alias("query_embedding"), F.col("vec_id").alias("result"), F.expr("timestamp_ntz '2024-01-01'").alias("ts"))
+    return maintenance.cache_entry(asked)
+
+
+@query("j6_cache_lookup", """WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS result, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 9) AS sim
+FROM embeddings q JOIN embeddings c ON q.label = c.label AND c.vec_id % 2 = 1 WHERE q.vec_id % 50 = 0)
+SELECT query_id, arg_min(result, struct_pack(s := -sim, i := result)) AS result FROM s WHERE sim >= 0.2 GROUP BY 1""")
+def j6(spark, d):
+    q = read(spark, d, "embeddings").where("vec_id % 50 = 0")
+    asked = q.select(F.col("vec_id").alias("query_id"), F.concat(F.lit("u"), F.col("label").cast("string")).alias("user_id"), F.array(F.lit("p1")).alias("projects"), F.col("embedding").alias("vector"), F.expr("timestamp_ntz '2024-01-01 00:30:00'").alias("now"))
+    return maintenance.cache_lookup(cached(spark, d), asked, 0.2)
+
+
+@query("a14_job_counters", """WITH f AS (SELECT source AS job_id, n_chars, CASE WHEN n_chars > 500 THEN 'indexed' WHEN doc_id % 9 = 0 THEN 'waiting' ELSE 'skipped' END AS status, CASE WHEN n_chars <= 100 THEN 'tiny' ELSE 'small' END AS reason, CAST(length(text) // 1000 AS BIGINT) AS chunks FROM documents),
+r AS (SELECT job_id, string_agg(reason || ':' || n, ',' ORDER BY reason) AS reasons FROM (SELECT job_id, reason, count(*) AS n FROM f WHERE status = 'skipped' GROUP BY 1, 2) GROUP BY 1)
+SELECT job_id, count(*) AS files_total, count(*) FILTER (status = 'indexed') AS files_indexed, count(*) FILTER (status = 'skipped') AS files_skipped, CAST(sum(chunks) AS BIGINT) AS chunks, CAST(sum(chunks % 2) AS BIGINT) AS secrets,
+CAST(CASE WHEN count(*) FILTER (status <> 'waiting') = count(*) THEN 100 ELSE count(*) FILTER (status <> 'waiting') * 90 // count(*) END AS INTEGER) AS progress, any_value(reasons) AS reasons FROM f LEFT JOIN r USING (job_id) GROUP BY 1""")
+def a14(spark, d):
+    n = F.col("n_chars")
+    f = read(spark, d, "documents").select(
+        F.col("source").alias("job_id"), F.when(n > 500, "indexed").when(F.col("doc_id") % 9 == 0, "waiting").otherwise("skipped").alias("status"), F.when(n <= 100, "tiny").otherwise("small").alias("reason"),
+        F.floor(F.length("text") / 1000).cast("long").alias("chunks"), (F.floor(F.length("text") / 1000).cast("long") % 2).alias("secrets"),
+    )
+    each = F.array_join(F.transform("skipped_by_reason", lambda x: F.concat_ws(":", x["reason"], x["n"].cast("string"))), ",")
+    return gateway.job_counters(f).withColumn("reasons", each).drop("skipped_by_reason")
+
+
+@query("a3_up_down", """WITH e AS (SELECT *, CASE WHEN event_type IN ('signup', 'click') THEN 1 ELSE -1 END AS step FROM events),
+l AS (SELECT *, sum(step) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS level FROM e) SELECT user_id, CAST(sum(step) AS BIGINT) AS value, CAST(max(level) AS BIGINT) AS highest FROM l GROUP BY 1""")
+def a3_up_down(spark, d):
+    e = read(spark, d, "events").withColumn("step", F.when(F.col("event_type").isin("signup", "click"), 1).otherwise(-1))
+    return gateway.active(e, "step", "user_id")
+
+
+# --- access and the whole plan -------------------------------------------------------------------
+ASK_PROJECTS = "['src' || (item_id % 5), 'src' || ((item_id + 1) % 5), 'src' || ((item_id + 2) % 5)]"
+ASK_ROLES = "CASE item_id % 4 WHEN 0 THEN ['developer'] WHEN 1 THEN ['auditor', 'admin'] WHEN 2 THEN ['admin'] ELSE ['nobody'] END"
+ACCESS_CTE = f"acc AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark JOIN documents ON list_contains({ASK_PROJECTS}, source) AND list_has_any({ROLE_SQL}, {ASK_ROLES}))"
+
+
+def requests(spark, d) -> DataFrame:
+    i = F.col("item_id")
+    source = lambda n: F.concat(F.lit("src"), ((i + n) % 5).cast("string"))
+    roles = F.when(i % 4 == 0, F.array(F.lit("developer"))).when(i % 4 == 1, F.array(F.lit("auditor"), F.lit("admin"))).when(i % 4 == 2, F.array(F.lit("admin"))).otherwise(F.array(F.lit("nobody")))
+    return read(spark, d, "benchmark").select(i.alias("query_id"), F.col("text").alias("query"), F.array(*map(source, range(3))).alias("projects"), roles.alias("roles"))
+
+
+@query("f4_bm25_access", f"""WITH {BM25_CTE}, {ACCESS_CTE}, ba AS (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank FROM sc JOIN acc USING (query_id, id) WHERE score > 0)
+SELECT query_id, rank, id, round(score, 6) AS score FROM ba WHERE rank <= 5""")
+def f4_bm25(spark, d):
+    return retrieval.bm25(chunks(spark, d), requests(spark, d), access=True).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query("f5_bm25_then_access", f"""WITH {BM25_CTE}, {ACCESS_CTE}, ba AS (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank FROM bm JOIN acc USING (query_id, id) WHERE rank <= 15)
+SELECT query_id, rank, id, round(score, 6) AS score FROM ba WHERE rank <= 5""")
+def f5(spark, d):
+    return retrieval.bm25_then_access(chunks(spark, d), requests(spark, d)).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query("f16_single_project", "SELECT doc_id, doc_id % 3 = 1 AS valid FROM documents")
+def f16(spark, d):
+    several = F.slice(F.array("source", "lang"), F.lit(1), (F.col("doc_id") % 3).cast("int"))
+    return read(spark, d, "documents").select("doc_id", files.single_project(several).alias("valid"))
+
+
+@query("f4_dense_access", f"""WITH {ACCESS_CTE}, dn AS (SELECT acc.query_id, acc.id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM acc JOIN embeddings v ON v.vec_id = acc.id JOIN embeddings q ON q.vec_id = acc.query_id WHERE acc.id <> acc.query_id),
+dr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank FROM dn WHERE score >= 0.1) SELECT query_id, rank, id, round(score, 6) AS score FROM dr WHERE rank <= 10""")
+def f4_dense(spark, d):
+    e = read(spark, d, "embeddings").select("vec_id", "embedding")
+    q = requests(spark, d).join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
+    v = chunks(spark, d).join(e, F.col("doc_id") == F.col("vec_id")).select("vec_id", "embedding", "project_id", "allowed_roles")
+    return retrieval.dense(v, q, 10, 0.1, access=True).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+FLAG_SQL = f"""WITH RECURSIVE {BM25_CTE.replace("FROM benchmark)", "FROM (SELECT item_id, " + NORM_SQL + " AS text FROM benchmark))")}, {ACCESS_CTE},
+b1 AS (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank FROM sc JOIN acc USING (query_id, id) WHERE score > 0),
+dn AS (SELECT acc.query_id, acc.id, coalesce(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 0) AS score FROM acc JOIN embeddings v ON v.vec_id = acc.id JOIN embeddings q ON q.vec_id = acc.query_id),
+d1 AS (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank FROM dn WHERE score >= 0.1),
+kw AS (SELECT query_id, [y FOR y, i IN k IF list_position(k, y) = i] AS k FROM (SELECT item_id AS query_id, {IDENT_SQL} AS k FROM (SELECT item_id, {NORM_SQL} AS text FROM benchmark))),
+kx AS (SELECT query_id, unnest(k) AS keyword, generate_subscripts(k, 1) AS pos FROM kw),
+sh AS (SELECT kx.query_id, acc.id, pos, row_number() OVER (PARTITION BY kx.query_id, pos ORDER BY acc.id) AS nth FROM kx JOIN acc USING (query_id) JOIN documents ON doc_id = acc.id WHERE contains(split_part(text, ' ', 1), keyword)),
+s1 AS (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos, nth) AS INTEGER) AS rank FROM sh WHERE nth <= 5),
+al AS (SELECT query_id, CAST(id AS VARCHAR) AS id, rank, 0 AS list_no FROM d1 WHERE rank <= 20 UNION ALL SELECT query_id, CAST(id AS VARCHAR), rank, 1 FROM b1 WHERE rank <= 20 UNION ALL SELECT query_id, CAST(id AS VARCHAR), rank, 2 FROM s1),
+fu AS (SELECT query_id, id, sum(1 / (60.0::DOUBLE + rank)) AS score, min(struct_pack(list_no := list_no, rank := rank)) AS seen FROM al GROUP BY 1, 2),
+fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, seen, id) AS rank FROM fu),
+c AS (SELECT query_id, id, fr.score AS relevance, q.text AS query, documents.text AS content, source, lang FROM fr JOIN (SELECT item_id, {NORM_SQL} AS text FROM benchmark) q ON q.item_id = query_id JOIN documents ON CAST(doc_id AS VARCHAR) = id WHERE fr.rank <= 20),
+t AS (SELECT *, list_distinct({TOK_SQL.format('query')}) AS q, list_distinct({TOK_SQL.format('content')}) AS w FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(CASE WHEN length(content) = 0 THEN -999.0 WHEN len(q) = 0 THEN 0.0 ELSE len(list_intersect(q, w)) / len(q) END, 9) DESC, id) AS rank FROM t),
+u AS (SELECT *, CAST(greatest(1, length(content) // 4) AS BIGINT) AS tokens, CAST(sum(greatest(1, length(content) // 4)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM r WHERE rank <= 5),
+n AS (SELECT * FROM u WHERE used <= 3000),
+g AS (SELECT query_id, max(used) AS tokens, string_agg(id || ':' || round(relevance, 6), ',' ORDER BY rank) AS sources,
+  string_agg('# ' || source || '/' || lang || '/f' || id || '  L1-9  commit:' || substr(sha256(content), 1, 8) || chr(10) || '```' || lang || chr(10) || content || chr(10) || '```', chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS blocks FROM n GROUP BY 1),
+ed AS (SELECT CAST(doc_id // 2 AS VARCHAR) AS dst, CAST(doc_id AS VARCHAR) AS src FROM documents),
+ca AS (SELECT n.query_id, n.rank, ed.src, row_number() OVER (PARTITION BY n.query_id, n.rank ORDER BY ed.src) AS nth FROM n JOIN ed ON ed.dst = n.id),
+cn AS (SELECT query_id, string_agg('f' || src, ',' ORDER BY rank, nth) AS callers, string_agg('# Caller: f' || src || chr(10), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank, nth) AS notes, CAST(sum(greatest(1, length('# Caller: f' || src || chr(10)) // 4)) AS BIGINT) AS spent FROM ca WHERE nth <= 2 GROUP BY 1)
+SELECT g.query_id, g.sources, CASE WHEN 3000 - g.tokens > 200 THEN coalesce(callers, '') ELSE '' END AS callers, g.tokens + CASE WHEN 3000 - g.tokens > 200 THEN coalesce(spent, 0) ELSE 0 END AS tokens,
+  sha256(blocks || CASE WHEN 3000 - g.tokens > 200 AND notes IS NOT NULL THEN chr(10) || chr(10) || '---' || chr(10) || chr(10) || notes ELSE '' END) AS context_hash FROM g LEFT JOIN cn USING (query_id)"""
+
+
+@query("flagship_retrieve", FLAG_SQL)
 def flagship(spark, d):
-    return pipelines.retrieve(bench_queries(spark, d), read(spark, d, "documents"), read(spark, d, "embeddings"), vector_queries(spark, d))
+    docs, e = read(spark, d, "documents"), read(spark, d, "embeddings")
+    path = F.concat("lang", F.lit("/f"), F.col("doc_id").cast("string"))
+    word = F.split_part("text", F.lit(" "), F.lit(1))
+    body = chunks(spark, d).join(e.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left").select(
+        F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "project_id", "allowed_roles", "embedding", path.alias("file_path"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"),
+        F.sha2("text", 256).alias("commit_hash"), F.col("source").alias("repository_name"), word.alias("node_name"), "language",
+    )
+    called = docs.select(F.col("doc_id").alias("called"), F.concat_ws("::", "source", path, word).alias("dst"))
+    edges = docs.select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("src"), F.floor(F.col("doc_id") / 2).alias("called")).join(called, "called")
+    q = requests(spark, d).join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id", "left")
+    found = pipelines.retrieve(q, body, edges, threshold=0.1)
+    number = lambda s: F.concat_ws(":", F.element_at(F.split(s["file_path"], "/f"), -1), F.round(s["relevance_score"], 6).cast("string"))
+    return found.select("query_id", F.array_join(F.transform("sources", number), ",").alias("sources"), F.array_join("callers", ",").alias("callers"), "tokens", F.sha2("context", 256).alias("context_hash"))

@@ -1,13 +1,18 @@
 """Syntax chunks of source files by a Python table function.
 
 Python sources are cut with the standard ``ast`` module: every function and class, nested ones too,
-in the order of their text. Other languages, empty files and files that do not parse give one
-``module`` chunk of the whole file. Offsets are characters, so non-ASCII sources cut rightly.
+in the order of their text. JavaScript, TypeScript, Java, Go and Rust are cut by their definitions and
+braces, with strings and comments blanked out first; what stands in a class is a method. Other
+languages, empty files, files that do not parse and files without a definition give one ``module``
+chunk of the whole file. Offsets are characters, so non-ASCII sources cut rightly. Calls are those of
+Python sources only.
 """
 
 from __future__ import annotations
 
 import ast
+import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,11 +50,69 @@ def python_chunks(source: str):
     return rows or None
 
 
+_BLANK = {
+    lang: re.compile(r"//[^\n]*|/\*.*?\*/|" + quotes, re.S)
+    for lang, quotes in {
+        "javascript": r"""\"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", "java": r"""\"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])+'""",
+        "go": r"""\"(?:\\.|[^"\\\n])*"|`[^`]*`|'(?:\\.|[^'\\\n])+'""", "rust": r"""\"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\\n])'""",
+    }.items()
+}
+_WORDS = r"(?!(?:if|for|while|switch|catch|function|return|new|else|do|try|synchronized|await|throw)\b)"
+#: What begins a chunk: (kind, pattern); methods count inside a class only.
+_BEGINS = {
+    "javascript": [("class", r"\bclass\s+(?P<name>[\w$]+)"), ("function", r"\bfunction\s*\*?\s*(?P<name>[\w$]+)\s*\("), ("function", r"\b(?:const|let|var)\s+(?P<name>[\w$]+)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:\([^()]*\)|[\w$]+)\s*(?::[^=\n]+)?=>"), ("method", rf"(?<![.\w$]){_WORDS}(?P<name>[\w$]+)\s*\([^;{{}}]*\)\s*(?::[^{{}};\n]+)?(?=\{{)")],
+    "java": [("class", r"\b(?:class|interface|enum|record)\s+(?P<name>\w+)"), ("method", rf"(?<![.\w]){_WORDS}(?P<name>\w+)\s*\([^;{{}}]*\)\s*(?:throws[\w\s.,]+)?(?=\{{)")],
+    "go": [("function", r"\bfunc\s+(?:\([^)]*\)\s*)?(?P<name>\w+)\s*(?:\[[^\]]*\])?\("), ("function", r"\btype\s+(?P<name>\w+)\s+(?:struct|interface)\b")],
+    "rust": [("class", r"\bimpl\b(?:<[^{}]*?>)?\s+(?:[\w:<>, ]+\s+for\s+)?(?P<name>\w+)"), ("function", r"\bfn\s+(?P<name>\w+)"), ("function", r"\b(?:struct|enum|trait)\s+(?P<name>\w+)")],
+}
+_IMPORTS = {"javascript": r"^import\b[^;\n]*;?", "java": r"^import\b[^;\n]*;?", "go": r"^import\s*(?:\([^)]*\)|[^\n]*)", "rust": r"^(?:pub\s+)?use\b[^;]*;"}
+_SAME = {"typescript": "javascript"}
+
+
+def brace_chunks(source: str, language: str):
+    """Rows of SCHEMA for a language with braces; None if it holds no definition."""
+    language = _SAME.get(language, language)
+    if language not in _BEGINS:
+        return None
+    code = _BLANK[language].sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+    ends, open_ = {}, []
+    for m in re.finditer(r"[{}]", code):
+        if m[0] == "{":
+            open_.append(m.start())
+        elif open_:
+            ends[open_.pop()] = m.start() + 1
+    found = []
+    for kind, pattern in _BEGINS[language]:
+        for m in re.finditer(pattern, code):
+            stop = re.compile(r"[{;]" if kind != "function" or language != "javascript" else r"[{;\n]").search(code, m.end())
+            brace = stop.start() if stop and stop[0] == "{" else None
+            end = ends.get(brace, len(code)) if brace is not None else stop.start() + (stop[0] == ";") if stop else len(code)
+            start = code.rfind("\n", 0, m.start()) + 1 if kind != "method" else m.start()
+            lead = re.match(r"\s*", code[start : m.start()]).end()
+            found.append((start + lead, -end, kind, m["name"], m.start()))
+    found.sort()
+    imports = "\n".join(source[m.start() : m.end()].strip() for m in re.finditer(_IMPORTS[language], code, re.M))
+    names = list(dict.fromkeys(re.findall(r"(?:import|from)\s+([a-zA-Z_][a-zA-Z0-9_.]*)", imports)))
+    rows, inside, seen = [], [], set()
+    for start, end, kind, name, at in found:
+        inside = [c for c in inside if -end <= c[0]]
+        parent = inside[-1][1] if inside else None
+        if at in seen or kind == "method" and not parent:
+            continue
+        seen.add(at)
+        whole, is_class = source[start:-end], kind == "class"
+        first = source.count("\n", 0, start) + 1
+        rows.append((whole, "class" if is_class else "method" if parent else "function", name, first, first + whole.count("\n"), None if is_class else parent, imports, None, [], names))
+        if is_class:
+            inside.append((-end, name))
+    return rows or None
+
+
 @udtf(returnType=SCHEMA)
 class Chunks:
     def eval(self, content: str, language: str):
         content = content or ""
-        rows = python_chunks(content) if language == "python" else None
+        rows = python_chunks(content) if language == "python" else brace_chunks(content, language)
         if rows:
             yield from rows
         else:
@@ -59,8 +122,10 @@ class Chunks:
 def chunk_files(spark: SparkSession, files: DataFrame) -> DataFrame:
     """Chunks of (file_path, content, language, project_id, repository_name), with content hash."""
     spark.udtf.register("quill_chunks", Chunks)
-    files.createOrReplaceTempView("quill_files")
-    got = spark.sql("SELECT f.file_path, f.language, f.project_id, f.repository_name, c.* FROM quill_files f, LATERAL quill_chunks(f.content, f.language) c")
+    view = f"quill_files_{uuid.uuid4().hex}"
+    files.createOrReplaceTempView(view)
+    got = spark.sql(f"SELECT f.file_path, f.language, f.project_id, f.repository_name, c.* FROM {view} f, LATERAL quill_chunks(f.content, f.language) c")
+    spark.catalog.dropTempView(view)
     from ..functions.ids import chunk_id, fqn, normalised_hash
 
     whole = F.when(F.col("node_type") == "module", F.col("content")).otherwise(F.concat_ws("\n", "imports_context", F.concat(F.lit("# "), "file_path"), "content"))

@@ -32,14 +32,27 @@ def greedy_callers(callers: DataFrame, budget: Column | int) -> DataFrame:
     budget = F.lit(budget) if isinstance(budget, int) else budget
     w = Window.partitionBy("query_id", "tokens").orderBy("ord")
     note = F.when(F.col("nth") * F.col("tokens") <= budget, F.struct("ord", "tokens"))
-    rows = callers.withColumn("nth", F.row_number().over(w)).groupBy("query_id").agg(F.array_sort(F.collect_list(note)).alias("a"))
-    start = F.struct(budget.cast("long").alias("left"), F.array().cast("array<int>").alias("taken"))
+    rows = callers.withColumn("nth", F.row_number().over(w)).groupBy("query_id").agg(F.array_sort(F.collect_list(note)).alias("a"), F.first(budget).alias("__budget"))
+    start = F.struct(F.col("__budget").cast("long").alias("left"), F.array().cast("array<int>").alias("taken"))
     step = lambda s, x: F.when(x["tokens"] <= s["left"], F.struct((s["left"] - x["tokens"]).alias("left"), F.concat(s["taken"], F.array(x["ord"].cast("int"))).alias("taken"))).otherwise(s)
     got = rows.withColumn("got", F.aggregate("a", start, step))
     return got.select("query_id", "got.taken", "got.left")
 
 
+#: Fixed value: the line that tells a model to use the history.
+HISTORY_NOTE = "Continue this conversation. Use the earlier messages for context."
+
+
 def transcript(history: Column, prompt: Column) -> Column:
-    """A prompt after its history of (role, content) turns."""
-    lines = F.transform(history, lambda h: F.concat(F.when(h["role"] == "user", "User: ").otherwise("Assistant: "), h["content"]))
-    return F.when(F.size(history) == 0, prompt).otherwise(F.concat(F.lit("Conversation so far:\n"), F.array_join(lines, "\n"), F.lit("\nUser: "), prompt, F.lit("\nAssistant:")))
+    """A prompt after its history of (role, content) turns; without history the prompt alone."""
+    said = F.transform(history, lambda h: F.concat(F.when(h["role"] == "user", "User: ").otherwise("Assistant: "), h["content"]))
+    lines = F.concat(F.array(F.lit(HISTORY_NOTE), F.lit("")), said, F.array(F.concat(F.lit("User: "), prompt), F.lit("Assistant:")))
+    return F.when(F.coalesce(F.size(history), F.lit(0)) <= 0, prompt).otherwise(F.array_join(lines, "\n"))
+
+
+def ide_sources(chunks: Column) -> Column:
+    """References as an editor shows them: unknown file, line 0 and no snippet where one lacks; null stays."""
+    return F.transform(
+        chunks,
+        lambda c: F.struct(F.coalesce(c["file"], F.lit("unknown")).alias("file"), F.coalesce(c["line_start"], F.lit(0)).alias("lineStart"), F.coalesce(c["line_end"], F.lit(0)).alias("lineEnd"), F.coalesce(c["snippet"], F.lit("")).alias("snippet")),
+    )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .retrieval import small
+
 # --- fixed values -----------------------------------------------------------------------------
 EXCLUDED_DIRS = ["node_modules", ".git", "__pycache__", "vendor", ".venv", "venv", ".env", "dist", "build", "out", "target", "bin", "obj", ".idea", ".vscode", ".eclipse", "coverage", ".nyc_output", ".pytest_cache", "migrations", "fixtures", "__snapshots__"]
 EXCLUDED_ENDINGS = [".min.js", ".min.css", ".bundle.js", ".d.ts"]
@@ -63,9 +65,14 @@ def narrowed(df: DataFrame, language: list[str] | None = None, node_types: list[
     return df.where(F.col("branch") == branch) if branch else df
 
 
+def single_project(projects: Column) -> Column:
+    """The compatible guard: a request names exactly one project. Retrieval itself takes several."""
+    return F.coalesce(F.size(projects) == 1, F.lit(False))
+
+
 def keyed(requests: DataFrame, keys: DataFrame | None) -> DataFrame:
     """Open if no keys are configured, else requests whose api_key is known."""
-    return requests if keys is None else requests.join(F.broadcast(keys.select("api_key").distinct()), "api_key", "left_semi")
+    return requests if keys is None else requests.join(small(keys.select("api_key").distinct()), "api_key", "left_semi")
 
 
 def command_allowed(tool: Column, command: Column) -> Column:

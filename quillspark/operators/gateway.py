@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,9 +113,34 @@ def findings_by_file(findings: DataFrame) -> DataFrame:
     return each.groupBy("file").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(rule)).alias("rules"))
 
 
-def webhook_paths(event_type: Column, body: Column) -> Column:
-    """Ordered distinct added and modified paths of a push."""
-    return F.array_distinct(F.flatten(F.transform(body["commits"], lambda c: F.concat(c["added"], c["modified"]))))
+PUSH = "project struct<id:string,git_http_url:string>, repository struct<id:string,clone_url:string>, ref string, after string, commits array<struct<added:array<string>,modified:array<string>>>"
+
+
+def push_jobs(hooks: DataFrame) -> DataFrame:
+    """Adds job (project_id, branch, repository_url, changed_files, commit_hash) to webhooks (event_type,
+    body as JSON). "Push Hook" bodies have a project, all others a repository. The branch is the last part
+    of the ref; paths are those added or modified, each once, in order. Null where no path changed or no
+    project is named."""
+    j = F.from_json("body", PUSH)
+    lab = F.col("event_type") == "Push Hook"
+    none = F.array().cast("array<string>")
+    files = F.array_distinct(F.flatten(F.transform(F.coalesce(j["commits"], F.array().cast("array<struct<added:array<string>,modified:array<string>>>")), lambda c: F.concat(F.coalesce(c["added"], none), F.coalesce(c["modified"], none)))))
+    project = F.coalesce(F.when(lab, j["project"]["id"]).otherwise(j["repository"]["id"]), F.lit(""))
+    url = F.coalesce(F.when(lab, j["project"]["git_http_url"]).otherwise(j["repository"]["clone_url"]), F.lit(""))
+    branch = F.element_at(F.split(F.coalesce(j["ref"], F.lit("refs/heads/main")), "/"), -1)
+    job = F.struct(project.alias("project_id"), branch.alias("branch"), url.alias("repository_url"), files.alias("changed_files"), F.coalesce(j["after"], F.lit("unknown")).alias("commit_hash"))
+    return hooks.withColumn("job", F.when((F.size(files) > 0) & (project != ""), job))
+
+
+def changed_files(jobs: DataFrame, tree: DataFrame) -> DataFrame:
+    """(project_id, path, action): changed paths of jobs against the files of the tree (project_id, path,
+    size). Paths that exist and may be indexed are replaced, all others only deleted."""
+    from .files import indexable
+
+    paths = jobs.where("job is not null").select("job.project_id", F.explode("job.changed_files").alias("path")).distinct()
+    found = paths.join(tree.select("project_id", "path", "size", F.lit(True).alias("there")), ["project_id", "path"], "left")
+    keep = F.coalesce("there", F.lit(False)) & indexable(F.col("path"), F.col("size"))
+    return found.select("project_id", "path", F.when(keep, "replace").otherwise("delete").alias("action"))
 
 
 def dispatch(event_type: Column, branch: Column, project: Column, paths: Column) -> Column:
@@ -130,16 +157,17 @@ def dispatch(event_type: Column, branch: Column, project: Column, paths: Column)
 
 
 def diff_sides(diffs: DataFrame) -> DataFrame:
-    """(id, target, before, after) of unified diffs (id, diff)."""
-    lines = diffs.select("id", F.posexplode(F.split("diff", "\n")).alias("pos", "line"))
-    skip = F.col("line").rlike(r"^(\+\+\+|@@|diff |index |---)")
-    kept = lines.withColumns({
-        "b": F.when(~skip & ~F.startswith("line", F.lit("+")), F.when(F.startswith("line", F.lit("-")), F.expr("substring(line, 2)")).otherwise(F.col("line"))),
-        "a": F.when(~skip & ~F.startswith("line", F.lit("-")), F.when(F.startswith("line", F.lit("+")), F.expr("substring(line, 2)")).otherwise(F.col("line"))),
-        "t": F.when(F.col("line").rlike("^--- a/"), F.expr("substring(line, 7)")),
-    })
-    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("pos", c)))), lambda x: x[c]), "\n")
-    return kept.groupBy("id").agg(F.max("t").alias("target"), text("b").alias("before"), text("a").alias("after"))
+    """(id, target, before, after) of unified diffs (id, diff). The target is the file of the last "--- "
+    line without its a/ or b/, or patched_file. Other header lines are left out; what starts with - or +
+    belongs to one side, all else to both."""
+    line = F.split("diff", "\n")
+    begins = lambda x, *ps: reduce(lambda a, b: a | b, [F.startswith(x, F.lit(p)) for p in ps])
+    body = F.filter(line, lambda x: ~begins(x, "--- ", "+++ ", "@@", "diff ", "index "))
+    cut = lambda x, mark: F.when(F.startswith(x, F.lit(mark)), F.substring(x, 2, F.length(x))).otherwise(x)
+    side = lambda own, other: F.array_join(F.transform(F.filter(body, lambda x: ~F.startswith(x, F.lit(other))), lambda x: cut(x, own)), "\n")
+    heads = F.filter(line, lambda x: F.startswith(x, F.lit("--- ")))
+    target = F.coalesce(F.regexp_replace(F.try_element_at(heads, F.lit(-1)), "^--- [ab]/", ""), F.lit("patched_file"))
+    return diffs.select("id", target.alias("target"), side("-", "+").alias("before"), side("+", "-").alias("after"))
 
 
 def diagnostics(df: DataFrame) -> DataFrame:
@@ -152,3 +180,34 @@ def diagnostics(df: DataFrame) -> DataFrame:
 def job_state(events: DataFrame) -> DataFrame:
     """Latest state of each job from its events (job_id, ts, status)."""
     return events.groupBy("job_id").agg(F.max_by("status", "ts").alias("status"), F.min("ts").alias("started_at"), F.max(F.when(F.col("status").isin("success", "error"), F.col("ts"))).alias("finished_at"))
+
+
+def job_counters(files: DataFrame, job: str = "job_id") -> DataFrame:
+    """Counters of each job from its files (status indexed or skipped, reason, chunks, secrets): totals,
+    skipped by reason, and progress: 90 percent by files done, 100 when all are."""
+    reasons = files.where("status = 'skipped'").groupBy(job, "reason").agg(F.count("*").alias("n")).groupBy(job).agg(F.array_sort(F.collect_list(F.struct("reason", "n"))).alias("skipped_by_reason"))
+    done = F.count_if(F.col("status").isin("indexed", "skipped"))
+    total = F.count("*")
+    sums = files.groupBy(job).agg(
+        total.alias("files_total"), F.count_if(F.col("status") == "indexed").alias("files_indexed"), F.count_if(F.col("status") == "skipped").alias("files_skipped"),
+        F.sum("chunks").alias("chunks"), F.sum("secrets").alias("secrets"),
+        F.when(done == total, 100).otherwise(F.floor(done * 90 / F.greatest(total, F.lit(1)))).cast("int").alias("progress"),
+    )
+    return sums.join(reasons, job, "left")
+
+
+def active(events: DataFrame, step: str, *labels: str) -> DataFrame:
+    """A gauge that goes up and down: the sum of its steps, and its highest value, by labels in time order
+    (columns ts, event_id)."""
+    w = Window.partitionBy(*labels).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return events.withColumn("__level", F.sum(step).over(w)).groupBy(*labels).agg(F.sum(step).alias("value"), F.max("__level").alias("highest"))
+
+
+def log_records(df: DataFrame, ts: str = "ts", level: str = "level", event: str = "event") -> DataFrame:
+    """(record): one JSON line of each row, ts, level and event first; other columns that hold text are
+    masked, all else is kept as it is."""
+    from ..functions.text import mask
+
+    rest = [c for c in df.columns if c not in (ts, level, event)]
+    fields = [mask(F.col(c)).alias(c) if df.schema[c].dataType.simpleString() == "string" else F.col(c) for c in rest]
+    return df.select(F.to_json(F.struct(F.col(ts).alias("ts"), F.col(level).alias("level"), F.col(event).alias("event"), *fields)).alias("record"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -20,11 +20,58 @@ def build_index(spark: SparkSession, tree: DataFrame, project: str, repository:
     return first.withColumn("embedding", hashing_embedding(F.col("content"))), graph.edges_of(chunks)
 
 
-def retrieve(queries: DataFrame, docs: DataFrame, vectors: DataFrame, query_vectors: DataFrame, k: int = 5, budget: int = 3000) -> DataFrame:
-    """(query_id, context, sources, tokens): dense and BM25 lists fused, neutralised, cut to the budget."""
-    lists = [retrieval.dense(vectors, query_vectors, 20, None), retrieval.bm25(docs, queries, k=20)]
-    top = retrieval.fuse(lists, k)
-    body = docs.select(F.col("doc_id").cast("string").alias("id"), text.neutralise(F.col("text"), F.col("source"), F.lit(1), F.lit(1)).alias("content"), "source")
-    used = context.budgeted(top.join(body, "id"), budget, k)
-    rows = F.array_sort(F.collect_list(F.struct("rank", "content", "source", "tokens")))
-    return used.groupBy("query_id").agg(rows.alias("r")).select("query_id", F.array_join(F.transform("r", lambda x: x["content"]), "\n\n").alias("context"), F.transform("r", lambda x: x["source"]).alias("sources"), F.aggregate("r", F.lit(0), lambda s, x: s + x["tokens"]).alias("tokens"))
+def retrieve(queries: DataFrame, chunks: DataFrame, edges: DataFrame | None = None, k: int = 5, wide: int = 20, budget: int = 3000, threshold: float | None = 0.65) -> DataFrame:
+    """(query_id, context, sources, callers, tokens) of requests (query_id, query, projects, roles, vector)
+    over chunks (chunk_id, content, project_id, allowed_roles, embedding, file_path, start_line, end_line,
+    commit_hash, repository_name, node_name, language). A column ``hypothetical`` of the queries, where
+    there is one, replaces the text that is searched for.
+
+    Requests see rows of their projects that one of their roles may see, before anything is ranked.
+    Dense, BM25 and symbol lists are fused; the ``wide`` best are reranked against the query, and the k best
+    of these enter the context while the budget lasts, followed by first callers; edges are (src, dst) of repository::file::name."""
+    text_of = F.coalesce("hypothetical", "normalised") if "hypothetical" in queries.columns else F.col("normalised")
+    asked = queries.withColumn("normalised", text.normalise(F.col("query"))).withColumn("query", text_of)
+    body = chunks.withColumnRenamed("chunk_id", "id")
+    lists = [
+        retrieval.dense(body, asked, wide, threshold, "id", "embedding", access=True, own=True),
+        retrieval.bm25(body, asked, "id", "content", wide, access=True),
+        named(body, asked),
+    ]
+    fused = retrieval.fuse(lists, wide).join(asked.select("query_id", F.col("normalised").alias("query")), "query_id").withColumnRenamed("score", "relevance")
+    parts = body.withColumn("id", F.col("id").cast("string"))
+    best = retrieval.rerank(parts.join(retrieval.bounded(fused, asked, wide), "id"), k=k).drop("score")
+    place = F.col("start_line"), F.col("end_line")
+    best = best.withColumn("content", text.neutralise(F.col("content"), F.col("file_path"), *place))
+    used = context.budgeted(best, budget, k)
+    block = context.formatted(F.col("repository_name"), F.col("file_path"), *place, F.col("commit_hash"), F.col("language"), F.col("content"))
+    rows = used.select("query_id", "rank", "tokens", F.concat_ws("::", "repository_name", "file_path", "node_name").alias("node"), block.alias("block"), context.source_ref(F.col("relevance")).alias("source"))
+    each = lambda c: F.transform("r", lambda x: x[c])
+    out = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "tokens", "block", "source"))).alias("r"), F.sum("tokens").alias("tokens"))
+    out = out.select("query_id", each("block").alias("blocks"), each("source").alias("sources"), "tokens")
+    if edges is not None:
+        w = Window.partitionBy("query_id").orderBy("rank", "nth")
+        first = graph.first_callers(edges).select(F.col("dst").alias("node"), F.posexplode("called_by").alias("nth", "caller"))
+        notes = rows.select("query_id", "rank", "node").join(first, "node").withColumn("ord", F.row_number().over(w))
+        notes = notes.withColumn("tokens", text.token_estimate(F.concat(F.lit("# Caller: "), "caller", F.lit("\n")))).join(out.select("query_id", (F.lit(budget) - F.col("tokens")).alias("left")), "query_id").where("left > 200")
+        taken = context.greedy_callers(notes, F.col("left"))
+        names = notes.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("ord", "caller", "tokens"))).alias("n"))
+        names = names.join(taken, "query_id").withColumn("n", F.filter("n", lambda x: F.array_contains(F.col("taken"), x["ord"])))
+        spent = F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x["tokens"])
+        out = out.join(names.select("query_id", F.transform("n", lambda x: x["caller"]).alias("callers"), spent.alias("spent")), "query_id", "left")
+        out = out.withColumn("tokens", F.col("tokens") + F.coalesce("spent", F.lit(0)))
+    else:
+        out = out.withColumn("callers", F.lit(None).cast("array<string>"))
+    callers = F.coalesce("callers", F.array().cast("array<string>"))
+    notes = F.transform(callers, lambda c: F.concat(F.lit("# Caller: "), c, F.lit("\n")))
+    return out.select("query_id", F.array_join(F.concat("blocks", notes), "\n\n---\n\n").alias("context"), "sources", callers.alias("callers"), "tokens")
+
+
+def named(chunks: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
+    """Ranked list (query_id, rank, id) of the chunks whose name holds a keyword of the query: the first
+    k that the request may see for each keyword, keywords in their order."""
+    words = asked.select("query_id", "projects", "roles", F.posexplode(text.identifiers(F.col("normalised"))).alias("pos", "keyword"))
+    hit = chunks.select("id", "node_name", "project_id", "allowed_roles").join(retrieval.small(words), F.contains("node_name", "keyword"))
+    hit = hit.where(retrieval.accessible(*map(F.col, ("project_id", "allowed_roles", "projects", "roles"))))
+    of_word = Window.partitionBy("query_id", "pos").orderBy("id")
+    hit = hit.withColumn("nth", F.row_number().over(of_word)).where(F.col("nth") <= k)
+    return hit.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("pos", "nth"))).select("query_id", "rank", "id")
