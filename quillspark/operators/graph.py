@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 
 def edges_of(chunks: DataFrame) -> DataFrame:
     """One edge for each (fqn, callee) of chunks with an array of calls."""
@@ -21,8 +23,6 @@ def callers(edges: DataFrame, starts: DataFrame, depth: int | None = 2) -> DataF
     or 99 or more; the start left out. Each round joins the new frontier with the edges, until a
     frontier is empty; seen nodes are left out, so cycles end."""
     spark = edges.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) is not None
-    cut = lambda df: df.checkpoint() if shared else df.localCheckpoint()
     e = edges.select(F.col("src").alias("node"), F.col("dst").alias("to")).distinct()
     seen = frontier = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct()
     parts, d = int(spark.conf.get("spark.sql.shuffle.partitions")), 0
@@ -57,10 +57,13 @@ def first_callers(edges: DataFrame, n: int = 2) -> DataFrame:
 
 def context(edges: DataFrame) -> DataFrame:
     """(fqn, importance, called_by, n_calls) of every node."""
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    calls = edges.select("src", "dst").distinct().groupBy("src").agg(F.count("*").alias("n_calls"))
-    out = nodes.join(in_degree(edges), "node", "left").join(first_callers(edges).withColumnRenamed("dst", "node"), "node", "left").join(calls.withColumnRenamed("src", "node"), "node", "left")
-    return out.select(F.col("node").alias("fqn"), F.coalesce("importance", F.lit(0)).alias("importance"), "called_by", F.coalesce("n_calls", F.lit(0)).alias("n_calls"))
+    e = edges.select("src", "dst").distinct()
+    w = Window.partitionBy("dst").orderBy("src")
+    # each edge stands for its target once and for its source once; the two first sources of a target are kept
+    inward = e.withColumn("n", F.row_number().over(w)).groupBy(F.col("dst").alias("fqn")).agg(F.count("*").alias("importance"), F.array_sort(F.collect_list(F.when(F.col("n") <= 2, F.col("src")))).alias("called_by"))
+    outward = e.groupBy(F.col("src").alias("fqn")).agg(F.count("*").alias("n_calls"))
+    none = F.lit(0).cast("long")
+    return inward.join(outward, "fqn", "full_outer").select("fqn", F.coalesce("importance", none).alias("importance"), "called_by", F.coalesce("n_calls", none).alias("n_calls"))
 
 
 def resolve(edges: DataFrame, nodes: DataFrame) -> DataFrame:
