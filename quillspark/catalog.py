@@ -433,8 +433,9 @@ def e1(spark, d):
 u AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM t) SELECT query_id, rank, id, used FROM u WHERE used <= 3000""")
 def w3(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    top = retrieval.bm25(read(spark, d, "documents"), bench_queries(spark, d))
-    return context.budgeted(docs.join(retrieval.small(top), "id"), 3000).select("query_id", "rank", "id", "used")
+    q = bench_queries(spark, d)
+    top = retrieval.bm25(read(spark, d, "documents"), q)
+    return context.budgeted(docs.join(retrieval.bounded(top, q, 5), "id"), 3000).select("query_id", "rank", "id", "used")
 
 
 @query("p10_format", "SELECT doc_id, sha256('# ' || source || '/' || 'f' || doc_id || '  L1-9  commit:' || substr(sha256(text), 1, 8) || chr(10) || '```' || lang || chr(10) || text || chr(10) || '```') AS block_hash FROM documents")

@@ -59,11 +59,11 @@ def context(edges: DataFrame) -> DataFrame:
     """(fqn, importance, called_by, n_calls) of every node."""
     e = edges.select("src", "dst").distinct()
     w = Window.partitionBy("dst").orderBy("src")
-    # each edge stands for its target once and for its source once; the two first sources of a target are kept
-    inward = e.withColumn("n", F.row_number().over(w)).groupBy(F.col("dst").alias("fqn")).agg(F.count("*").alias("importance"), F.array_sort(F.collect_list(F.when(F.col("n") <= 2, F.col("src")))).alias("called_by"))
-    outward = e.groupBy(F.col("src").alias("fqn")).agg(F.count("*").alias("n_calls"))
-    none = F.lit(0).cast("long")
-    return inward.join(outward, "fqn", "full_outer").select("fqn", F.coalesce("importance", none).alias("importance"), "called_by", F.coalesce("n_calls", none).alias("n_calls"))
+    first = e.withColumn("n", F.row_number().over(w)).where("n <= 2")  # cut before the exchange, so a hot target is no matter
+    first = first.groupBy(F.col("dst").alias("fqn")).agg(F.array_sort(F.collect_list("src")).alias("called_by"))
+    ends = e.select(F.explode(F.array(F.struct(F.col("src").alias("fqn"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("dst").alias("fqn"), F.lit(0).alias("out"), F.lit(1).alias("into")))).alias("x"))
+    degrees = ends.groupBy("x.fqn").agg(F.sum("x.into").alias("importance"), F.sum("x.out").alias("n_calls"))
+    return degrees.join(first, "fqn", "left").select("fqn", "importance", "called_by", "n_calls")
 
 
 def resolve(edges: DataFrame, nodes: DataFrame) -> DataFrame:
