@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import ship
+from ..storage import cut, kept, new_folder, shared_folder
+
+__all__ = ["cut", "kept", "lean", "new_folder", "parts", "shared_folder", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,52 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, or the folder its context checkpoints to. Where neither is
-    set a local session gets a folder of its own; a cluster is refused, for its executors share none."""
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not where:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = _own.setdefault(sc.applicationId, "") or tempfile.mkdtemp(prefix="quillspark-")
-        _own[sc.applicationId] = where
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder; what is written there goes when the driver ends."""
-    where = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, where)
-    return where
-
-
-def _remove(spark: SparkSession, where: str) -> None:
-    with contextlib.suppress(Exception):  # the session may be gone
-        path = spark._jvm.org.apache.hadoop.fs.Path(where)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def kept(df: DataFrame, name: str = "table") -> DataFrame:
-    """df written to the shared folder and read again: its lineage is cut, its columns are read apart,
-    and joins deal both of their sides out anew, so that skewed keys can be split."""
-    spark = df.sparkSession
-    where = new_folder(spark, name)
-    df.write.parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder with its partitioning."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def lean(run):
     """run for mapInArrow, after which the worker gives the memory it freed back to the system: workers
     live on from stage to stage beside the executor's heap."""
