@@ -10,7 +10,10 @@ reads the directory entries whose members start in its range. Members stream in
 bounded bytes; each is checked and, on failure, read again by its offset alone, RETRIES times, before
 an error row stands for it.
 
-Null text is empty: 576 bytes of 255. Repeated rows are members each. Empty tables give no members.
+Null text is empty: 576 bytes of 255. Texts of any length make one member, which is read whole. Repeated
+rows and rows with a null id are members each; members are told apart by their offset, so ties do not
+arise. Empty tables give no members; a folder that is missing fails the read. Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .shared import shared_folder
+from .shared import lean, new_folder
 
 UNIT, PAD = 576, 255
 RANGE_BYTES, BATCH_BYTES, RETRIES = 32 << 20, 4 << 20, 3
@@ -77,8 +80,9 @@ def opened(path: str):
 
 def write_archives(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> str:
     """Writes the texts' payloads; returns the archive folder in the shared folder."""
-    base = shared_folder(docs.sparkSession)
-    folder = f"{base}/media-{uuid.uuid4().hex}"
+    folder = new_folder(docs.sparkSession, "media")
+    where, root = opened(folder)
+    where.create_dir(root, recursive=True)
 
     def run(batches):
         store, root = opened(folder)
@@ -100,7 +104,7 @@ def write_archives(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
         store.move(temp, f"{name}.arc")
         yield pa.RecordBatch.from_arrays([pa.array([len(entries)], pa.int64())], ["members"])
 
-    docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "members long").agg(F.sum("members")).collect()
+    docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(lean(run), "members long").agg(F.sum("members")).collect()
     return folder
 
 
@@ -123,7 +127,7 @@ class ArchiveReader(DataSourceReader):
 
         store, root = opened(self.folder)
         out = []
-        for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        for f in store.get_file_info(fs.FileSelector(root)):
             if f.path.endswith(".arc"):
                 out += [Range(f.path, lo, lo + RANGE_BYTES) for lo in range(0, max(1, f.size), RANGE_BYTES)]
         return out or [Range("", 0, 0)]
@@ -226,4 +230,4 @@ def features(members: DataFrame) -> DataFrame:
             cols = zip(*rows) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "n_bytes", "payload", "media_bytes", "media_sha256", "feature"])
 
-    return members.select("doc_id", "n_bytes", "media", "error").mapInArrow(run, FEATURES)
+    return members.select("doc_id", "n_bytes", "media", "error").mapInArrow(lean(run), FEATURES)

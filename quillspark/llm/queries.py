@@ -70,4 +70,4 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_token_counts, op4_media_columns, op5_byte_bpe, op6_secret_scan, op7_best_fit_packing, op8_license_scan, op9_near_dedup, op10_exact_topk)}
-SQL: dict[str, str] = {"op10_exact_topk": vector_search.SQL}
+SQL: dict[str, str] = {"op2_sharding": sharding.SQL, "op9_near_dedup": near_dedup.SQL, "op10_exact_topk": vector_search.SQL}

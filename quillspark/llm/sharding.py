@@ -124,9 +124,18 @@ def shard(docs: DataFrame, shards: int = 16, share: float = 0.01, id_col: str =
     return ranked.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), which.cast("int").alias("shard"), (F.col("first") + F.col("in_cell") - base).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-#: DuckDB SQL of shard() over documents, with shards = 16 and share = 0.01.
+#: DuckDB SQL of shard() over documents, with shards = 16 and share = 0.01. CRC-32 goes byte by byte
+#: through the table that eight division steps of each byte give.
 SQL = """
-WITH k AS (
+WITH RECURSIVE bit(n, c, k) AS (
+  SELECT range, range::UBIGINT, 0 FROM range(256)
+  UNION ALL SELECT n, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM bit WHERE k < 8),
+tab AS (SELECT list(c ORDER BY n) AS tab FROM bit WHERE k = 8),
+crc AS (
+  SELECT body, CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, [('0x' || x)::UBIGINT FOR x IN regexp_extract_all(hex(encode(body)), '..')]),
+    lambda a, b: xor(a >> 8, tab[CAST(xor(a, b) & 255 AS BIGINT) + 1])), 4294967295::UBIGINT) AS BIGINT) AS text_crc32
+  FROM (SELECT DISTINCT coalesce(text, '') AS body FROM documents), tab),
+k AS (
   SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, coalesce(text, '') AS body,
          CAST(('0x' || substr(md5(coalesce(text, '')), 1, 15)) AS BIGINT) AS h1,
          CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15)) AS BIGINT) AS h2
@@ -137,8 +146,8 @@ c AS (
             - sum(size) OVER (PARTITION BY big, h1, CASE WHEN big THEN h2 ELSE 0 END) AS start
   FROM g),
 s AS (SELECT *, CAST(least(15, floor(start * 16 / (SELECT sum(size) FROM k))) AS INTEGER) AS shard FROM c)
-SELECT doc_id, size, 'bytes' AS law, shard,
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
        CAST(row_number() OVER (PARTITION BY shard ORDER BY big, h1, h2, doc_id) - 1 AS BIGINT) AS slot,
        CAST(NULL AS INTEGER) AS grown_shard
-FROM s
+FROM s JOIN crc USING (body)
 """
