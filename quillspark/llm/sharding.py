@@ -9,8 +9,9 @@ own in proportion to its rows, so a text that a third of all rows share is dealt
 
 A shard i of n takes keys whose group (or, in big groups, row) starts at bytes total*i/n or more. Size
 is the UTF-8 bytes plus 1; null counts as no bytes and equals the empty text for groups and checksum.
-Rows equal in text and id are told apart by nothing and rank side by side. Empty tables give empty
-results. Only the id and text columns are read.
+Rows equal in text and id are told apart by nothing and rank side by side, and rows with a null id are
+ranked as if their id were the word null. Texts of any length count whole. Empty tables give empty
+results. Only the id and text columns are read; others may have any name.
 """
 
 from __future__ import annotations

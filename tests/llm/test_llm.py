@@ -79,3 +79,18 @@ def test_sharding_equals_sql(spark, odd, none):
     sizes = sharding.shard(more).groupBy("shard").sum("size").toPandas()["sum(size)"]
     assert len(sizes) == 16 and sizes.max() < 1.05 * sizes.mean()
     assert sharding.shard(none).count() == 0
+
+
+def test_sharding_of_clashing_columns_and_long_texts(spark):
+    """Null and repeated ids, repeated rows, a text over 1 MB and columns named like those of the result."""
+    rows = [(i if i % 7 else None, f"text {i % 40}", i, "x", 0, 1) for i in range(200)] + [(500, "long " * 300_000, 1, "x", 0, 1), (500, "other", 1, "x", 0, 1), (501, None, 1, "x", 0, 1), (501, "", 1, "x", 0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard int, law string, slot long, h1 int")
+    got = sharding.shard(df).toPandas()
+    assert len(got) == len(rows) and got["size"].max() == 1_500_001
+    assert got["slot"].groupby(got["shard"]).apply(lambda s: sorted(s) == list(range(len(s)))).all()
+    assert Counter(got["size"]) == Counter(len((r[1] or "").encode()) + 1 for r in rows)
+    c, documents = duckdb.connect(), df.select("doc_id", "text").toPandas()  # noqa: F841
+    documents["doc_id"] = documents["doc_id"].astype("Int64")
+    want = c.execute(sharding.SQL).df()
+    key = ["size", "text_crc32", "shard", "slot"]
+    assert sorted(got[key].itertuples(index=False, name=None)) == sorted(want[key].itertuples(index=False, name=None))

@@ -92,7 +92,7 @@ def test_pieces_and_places(spark):
     word = "a"
     while len(word) < 2048:
         word += word.translate(str.maketrans("ab", "ba"))
-    texts = ["", None, "The cat sat.\n" * 3, "The cat sat.\n" * 3, "x" * 5000, "été 日本 × 12  \n\n tail  ", "word " * 3000, word + "\n" + word.translate(str.maketrans("ab", "ba"))]
+    texts = ["", None, "The cat sat.\n" * 3, "The cat sat.\n" * 3, "x" * 5000, "été 日本 × 12  \n\n tail  ", "word " * 3000, "numbers 12 and words " * 55_000, word + "\n" + word.translate(str.maketrans("ab", "ba"))]
     rows = [((1 << 53) + 1 + i if i != 2 else None, t, i, "x") for i, t in enumerate(texts)] + [(7, "again", 0, "x")] * 3 + [(None, None, 0, None)] * 40
     size = 64
     want = []

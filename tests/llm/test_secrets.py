@@ -30,7 +30,7 @@ def test_base_spans_equal_patterns(spark):
     rng = random.Random(1)
     parts = ["password", "PASSWD", "secret", "Token", "api_key", "apikey", "'", '"', ":", "=", " ", "  ", "hunter2hunter2", "short", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "deadbeef", "é", "日本", "\n", "😀", ".", "x"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(400)]
-    texts += ["", None, "token=abcdefgh " * 700, "secret: " + "a" * 50_000, "0" * 31, "f" * 32]
+    texts += ["", None, "token=abcdefgh " * 700, "secret: " + "a" * 50_000, "plain words " * 90_000 + "token: abcdefgh12 " * 300, "0" * 31, "f" * 32]
     df = spark.createDataFrame([(i, t, "own") for i, t in enumerate(texts)] + [(None, texts[0], None)], SCHEMA + ", secrets string")
     for _, t, spans in found(df):
         assert [s for s in spans if s[1] < 3] == base(t), t
