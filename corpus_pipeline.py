@@ -1,9 +1,13 @@
 """The corpus pipeline: toxicity, near duplicates, secrets, packing, each stage written and reread.
 
 Stages take and return whole tables of documents; only the last returns packed pieces. Null texts
-pass the first three stages and pack as one end id each; an empty table passes through all stages.
-SQL cannot express the learned lexicon, MinHash or the tokenizer, so ORACLE_SQL is None and tests
-hold each stage against a brute-force version.
+pass the first three stages and pack as one end id each; rows with a null id pass all stages, rows that
+repeat an id stay or go together in the second, and other columns are kept, whatever their names, until
+the last. Texts of any length go through whole. An empty table passes through all stages. Lexicon and
+labels come from the whole documents table of sf_dir, whatever a stage was given.
+
+SQL cannot express the learned lexicon, tests of randomness or the tokenizer, so ORACLE_SQL is None;
+tests/llm/test_pipeline.py holds the result against plain versions of all stages.
 """
 
 from __future__ import annotations
