@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, hard_negatives, lexical, licenses, media, near_dedup, packing, secrets, sharding, token_counts, toxicity, vector_search
+from . import byte_bpe, embedding_dedup, hard_negatives, lexical, licenses, media, near_dedup, packing, secrets, sharding, token_counts, toxicity, vector_search
 from .shared import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -69,6 +69,10 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.find(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved)
@@ -78,5 +82,5 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_token_counts, op4_media_columns, op5_byte_bpe, op6_secret_scan, op7_best_fit_packing, op8_license_scan, op9_near_dedup, op10_exact_topk, op12_hard_negatives, op13_lexical_search)}
-SQL: dict[str, str] = {"op2_sharding": sharding.SQL, "op9_near_dedup": near_dedup.SQL, "op10_exact_topk": vector_search.SQL, "op12_hard_negatives": hard_negatives.SQL, "op13_lexical_search": lexical.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_token_counts, op4_media_columns, op5_byte_bpe, op6_secret_scan, op7_best_fit_packing, op8_license_scan, op9_near_dedup, op10_exact_topk, op11_embedding_dedup, op12_hard_negatives, op13_lexical_search)}
+SQL: dict[str, str] = {"op2_sharding": sharding.SQL, "op9_near_dedup": near_dedup.SQL, "op10_exact_topk": vector_search.SQL, "op11_embedding_dedup": embedding_dedup.SQL, "op12_hard_negatives": hard_negatives.SQL, "op13_lexical_search": lexical.SQL}
