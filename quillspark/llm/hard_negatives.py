@@ -197,7 +197,7 @@ def mine(vectors: DataFrame, is_anchor: Column, label: Column | None = None, k:
     found = found.withColumn("nth", F.row_number().over(Window.partitionBy("anchor_id").orderBy(*order))).where(F.col("nth") <= k)
     positives = kept(found.select("anchor_id", "nth", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
     over, under = least.numerator, least.denominator
-    low = F.expr(f"if(positive_score < 0, 0, (positive_score * {over} + {under - 1}) div {under})")  # below 0 a share of a score is more than all of it: an empty window
+    low = F.expr(f"if(positive_score < 0, 0, (cast(positive_score as decimal(20, 0)) * {over} + {under - 1}) div {under})")  # below 0 a share of a score is more than all of it: an empty window
     wins = positives.groupBy("anchor_id").agg(F.array_sort(F.collect_list(F.struct("nth", low.alias("low"), F.col("positive_score").alias("high")))).alias("w"))
     wins = wins.select(F.col("anchor_id").alias("vec_id"), F.transform("w", lambda x: x["low"]).alias("low"), F.transform("w", lambda x: x["high"]).alias("high"))
     asked = anchors.join(wins, "vec_id").select("vec_id", "label", "vec", "square", "low", "high")
