@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from .functions import ids, text
 from .functions.embed import hashing_embedding
-from .operators import chunking, context, evaluation, files, gateway, graph, maintenance, retrieval
+from .operators import chunking, context, evaluation, files, gateway, graph, maintenance, postings, retrieval
+from .operators.store import Store
 from .plans import pipelines
 from .sources import readers
+from .storage import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -362,9 +364,35 @@ sc AS (SELECT query_id, doc_id AS id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0
 bm AS (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank FROM sc WHERE score > 0)"""
 
 
+_indexes: dict[tuple, str] = {}
+
+
+def indexed(spark, d) -> str:
+    """The folder of the index of all documents, written at the first query of a session over these files."""
+    files_ = sorted(read(spark, d, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect())
+    key = (spark.sparkContext.applicationId, *map(tuple, files_))
+    if key not in _indexes:
+        where = new_folder(spark, "index")
+        postings.write_index(read(spark, d, "documents"), where)
+        _indexes[key] = where
+    return _indexes[key]
+
+
+def bm25_top(spark, d, k: int = 5) -> DataFrame:
+    return postings.search(spark, indexed(spark, d), bench_queries(spark, d), k)
+
+
+@query("j2_stored_postings", f"""WITH {BM25_CTE.replace("SELECT DISTINCT item_id AS query_id", "SELECT DISTINCT conv_id || '-' || turn AS query_id").replace("FROM benchmark)", "FROM conversations WHERE role = 'user')")}
+SELECT query_id, rank, id, round(score, 6) AS score FROM bm WHERE rank <= 3""")
+def j2(spark, d):
+    """Every row of conversations that a user wrote asks the index."""
+    asks = read(spark, d, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"))
+    return postings.search(spark, indexed(spark, d), asks.where("query_id is not null"), 3).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
 @query("o2_bm25_topk", f"WITH {BM25_CTE} SELECT query_id, rank, id, round(score, 6) AS score FROM bm WHERE rank <= 5")
 def o2(spark, d):
-    return retrieval.bm25(read(spark, d, "documents"), bench_queries(spark, d)).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+    return bm25_top(spark, d).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
 @query("a5_corpus_stats", f"WITH {BM25_CTE} SELECT (SELECT count(*) FROM dl) AS docs, round((SELECT avg(dl) FROM dl), 6) AS avgdl, (SELECT count(*) FROM df) AS terms, (SELECT CAST(sum(df) AS BIGINT) FROM df) AS postings")
@@ -397,7 +425,7 @@ ra AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(sc
 SELECT query_id, rank, id, round(score, 9) AS score, seen.list_no AS first_list FROM ra WHERE rank <= 10""")
 def o3(spark, d):
     a = retrieval.dense(read(spark, d, "embeddings"), vector_queries(spark, d), 20, 0.2)
-    b = retrieval.bm25(read(spark, d, "documents"), bench_queries(spark, d), k=20)
+    b = bm25_top(spark, d, 20)
     return retrieval.fuse([a, b], 10).withColumn("score", F.round("score", 9))
 
 
@@ -408,7 +436,7 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(sco
 SELECT query_id, rank, id, round(score, 6) AS score FROM r WHERE rank <= 5""")
 def e2(spark, d):
     docs = read(spark, d, "documents")
-    c = retrieval.bm25(docs, bench_queries(spark, d), k=20).join(bench_queries(spark, d), "query_id").join(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), "id")
+    c = bm25_top(spark, d, 20).join(bench_queries(spark, d), "query_id").join(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), "id")
     return retrieval.rerank(c).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
@@ -434,7 +462,7 @@ u AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY query_id ORDER BY rank ROWS
 def w3(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     q = bench_queries(spark, d)
-    top = retrieval.bm25(read(spark, d, "documents"), q)
+    top = bm25_top(spark, d)
     return context.budgeted(docs.join(retrieval.bounded(top, q, 5), "id"), 3000).select("query_id", "rank", "id", "used")
 
 
@@ -481,7 +509,7 @@ def eval_cases(spark, d) -> DataFrame:
     docs, q = read(spark, d, "documents"), bench_queries(spark, d)
     hit = retrieval.spread(docs.select("doc_id", "text")).join(retrieval.small(q), F.contains("text", "query"))
     exp = hit.groupBy("query_id").agg(F.array_sort(F.collect_list("doc_id")).alias("expected"))
-    got = retrieval.bm25(docs, q).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("retrieved"))
+    got = bm25_top(spark, d).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("retrieved"))
     none = F.array().cast("array<long>")
     cases = q.select("query_id").join(exp, "query_id", "left").join(got, "query_id", "left")
     cases = cases.withColumns({"expected": F.coalesce("expected", none), "retrieved": F.coalesce("retrieved", none)})
@@ -765,9 +793,9 @@ def t1(spark, d):
     return chunking.chunk_files(spark, source_files(spark)).select("file_path", "node_type", "node_name", "start_line", "end_line", "parent_class", "docstring", F.array_join("calls", ",").alias("calls"), "chunk_id", "fqn")
 
 
-@query("t6_call_edges", "SELECT DISTINCT 'f' || doc_id AS src, unnest(string_split(text, ' ')[1:4]) AS dst, 'calls' AS relation FROM documents")
+@query("t6_call_edges", "SELECT DISTINCT 'f' || doc_id AS src, unnest(string_split(text, ' ')) AS dst, 'calls' AS relation FROM documents")
 def t6(spark, d):
-    return graph.edges_of(read(spark, d, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("fqn"), F.slice(F.split("text", " "), 1, 4).alias("calls")))
+    return graph.edges_of(read(spark, d, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("fqn"), F.split("text", " ").alias("calls")))
 
 
 @query("t6_chunk_edges")
@@ -981,3 +1009,28 @@ def flagship(spark, d):
     found = pipelines.retrieve(q, body, edges, threshold=0.1)
     number = lambda s: F.concat_ws(":", F.element_at(F.split(s["file_path"], "/f"), -1), F.round(s["relevance_score"], 6).cast("string"))
     return found.select("query_id", F.array_join(F.transform("sources", number), ",").alias("sources"), F.array_join("callers", ",").alias("callers"), "tokens", F.sha2("context", 256).alias("context_hash"))
+
+
+# --- the stored index, kept up by a stream of changed files --------------------------------------
+CHANGED_SQL = f"""(SELECT source AS project_id, lang || '/f' || doc_id || '.md' AS file_path, CASE WHEN quality = 1 THEN text || ' v2' ELSE text END AS text, doc_id
+  FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS DISTINCT FROM 0 AND text IS NOT NULL)"""
+
+
+@query("x3_delta_apply", rf"""WITH c AS (SELECT project_id, file_path, sha256(trim(regexp_replace({RED_SQL}, '[\s\x0b]+', ' ', 'g'))) AS chunk_hash, {RED_SQL} <> text AS redacted, array_to_string({ROLE_SQL}, ',') AS roles
+  FROM {CHANGED_SQL} WHERE strlen(text) <= {files.MAX_FILE_BYTES})
+SELECT project_id, file_path, chunk_hash, redacted, roles FROM (SELECT *, row_number() OVER (PARTITION BY project_id, chunk_hash ORDER BY file_path) AS n FROM c) WHERE n = 1""")
+def x3(spark, d):
+    """All documents come as new files; then what labels call good changes, and what they call bad goes."""
+    docs = chunks(spark, d).select("doc_id", "text", "allowed_roles", F.col("source").alias("project_id"), F.concat("lang", F.lit("/f"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file_path"))
+    docs = docs.withColumns({"tenant_id": F.lit("t"), "sensitivity_level": F.lit("internal"), "branch": F.lit("main"), "commit_hash": F.lit("c"), "repository_name": F.lit("r")})
+    graded = docs.join(read(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    change = lambda df, content, removed, n: df.select("file_path", content.alias("content"), F.octet_length(content).cast("long").alias("size"), removed.alias("removed"), F.lit(n).alias("ts"), *pipelines.ORIGIN)
+    stages = [change(docs, F.col("text"), F.lit(False), 1), change(graded, F.concat("text", F.lit(" v2")), F.col("quality") == 0, 2)]
+    where = new_folder(spark, "delta")
+    kept_ = Store(spark, f"{where}/store")
+    for stage in stages:
+        stage.write.mode("append").parquet(f"{where}/changes")
+        stream = spark.readStream.schema(stage.schema).parquet(f"{where}/changes")
+        pipelines.delta_stream(stream, kept_, f"{where}/checkpoint").awaitTermination()
+    rows = pipelines.deduplicated(kept_.read())
+    return rows.select("project_id", "file_path", "chunk_hash", F.col("has_secrets_redacted").alias("redacted"), F.array_join("allowed_roles", ",").alias("roles"))

@@ -120,11 +120,12 @@ class Chunks:
 
 
 def chunk_files(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """Chunks of (file_path, content, language, project_id, repository_name), with content hash."""
+    """Chunks of (file_path, content, language, project_id, repository_name), with content hash; other
+    columns of the files go through."""
     spark.udtf.register("quill_chunks", Chunks)
     view = f"quill_files_{uuid.uuid4().hex}"
     files.createOrReplaceTempView(view)
-    got = spark.sql(f"SELECT f.file_path, f.language, f.project_id, f.repository_name, c.* FROM {view} f, LATERAL quill_chunks(f.content, f.language) c")
+    got = spark.sql(f"SELECT f.* EXCEPT (content), c.* FROM {view} f, LATERAL quill_chunks(f.content, f.language) c")
     spark.catalog.dropTempView(view)
     from ..functions.ids import chunk_id, fqn, normalised_hash
 

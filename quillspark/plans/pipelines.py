@@ -2,22 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.embed import hashing_embedding
 from ..operators import chunking, context, files, graph, maintenance, retrieval
+from ..operators.store import Store
+from ..storage import kept
 
 
-def build_index(spark: SparkSession, tree: DataFrame, project: str, repository: str) -> tuple[DataFrame, DataFrame]:
-    """(chunks, edges) of a file tree (path, content, size): filter, redact, chunk, deduplicate, embed."""
-    kept = tree.where(files.indexable(F.col("path"), F.col("size")))
-    clean = text.redact(F.col("content"))
-    kept = kept.select(F.col("path").alias("file_path"), clean.alias("content"), files.language(F.col("path")).alias("language"), F.lit(project).alias("project_id"), F.lit(repository).alias("repository_name"))
-    chunks = chunking.chunk_files(spark, kept)
-    first = maintenance.latest(chunks, ["chunk_hash"], [F.col("file_path"), F.col("start_line")])
-    return first.withColumn("embedding", hashing_embedding(F.col("content"))), graph.edges_of(chunks)
+#: What every row of the index says of where it comes from and who may see it.
+ORIGIN = ["project_id", "tenant_id", "allowed_roles", "sensitivity_level", "branch", "commit_hash", "repository_name"]
+
+
+def file_chunks(files_: DataFrame, model: str = "hashing", version: str = "1", now: Column | None = None) -> DataFrame:
+    """Rows of the index for files (file_path, content, size, ORIGIN): filtered, redacted, chunked, of equal
+    chunks of a file the first, embedded and stamped with model, version and time."""
+    wanted = files_.where(files.indexable(F.col("file_path"), F.col("size")))
+    clean = text.redact(F.coalesce("content", F.lit("")))
+    wanted = wanted.select("file_path", clean.alias("content"), (clean != F.coalesce("content", F.lit(""))).alias("has_secrets_redacted"), files.language(F.col("file_path")).alias("language"), *ORIGIN)
+    chunks = chunking.chunk_files(files_.sparkSession, wanted)
+    first = maintenance.latest(chunks, ["project_id", "file_path", "chunk_hash"], [F.col("start_line")])
+    stamps = {"embedding_model": F.lit(model), "embedding_model_version": F.lit(version), "indexed_at": F.current_timestamp() if now is None else now}
+    return first.withColumn("embedding", hashing_embedding(F.col("content"))).withColumns(stamps)
+
+
+def deduplicated(chunks: DataFrame) -> DataFrame:
+    """Of equal chunks of a project the first, by file and line."""
+    return maintenance.latest(chunks, ["project_id", "chunk_hash"], [F.col("file_path"), F.col("start_line")])
+
+
+def build_index(
+    spark: SparkSession, tree: DataFrame, project: str, repository: str, *, tenant: str = "", roles: tuple[str, ...] = ("developer",),
+    sensitivity: str = "internal", branch: str = "main", commit: str = "unknown", root: str = "",
+) -> tuple[DataFrame, DataFrame]:
+    """(chunks, edges) of a file tree (path, content, size); ``retrieve`` searches these chunks. Paths lose
+    ``root`` where they begin with it."""
+    origin = dict(zip(ORIGIN, [F.lit(project), F.lit(tenant), F.array(*map(F.lit, roles)).cast("array<string>"), F.lit(sensitivity), F.lit(branch), F.lit(commit), F.lit(repository)]))
+    path = F.when(F.startswith("path", F.lit(root)), F.substring("path", len(root) + 1, 1 << 30)).otherwise(F.col("path"))
+    chunks = file_chunks(tree.withColumn("file_path", path).withColumns(origin))
+    return deduplicated(chunks), graph.edges_of(chunks)
+
+
+def apply_changes(store: Store, changes: DataFrame, epoch: int, stream: str = "changes") -> None:
+    """Brings the stored chunks up to changed files (file_path, content, size, removed, ts, ORIGIN): of each
+    file the latest change holds; its old rows go, and what it is now is filtered, redacted, chunked,
+    embedded and stored, in one commit of the partitions that the files are in. An epoch that is stored
+    already is left out, so a batch may come again after a failure."""
+    if store.seen(stream, epoch):
+        return
+    keys = list(store.keys)
+    last = kept(maintenance.latest(changes, keys, [F.desc("ts"), F.col("removed")]), "changes")
+    touched = sorted(r[0] for r in last.select(store.part()).distinct().collect())  # as many as the store has at most
+    if not touched:
+        return
+    rows = file_chunks(last.where("not removed"))
+    held = store.read(touched)
+    if held is not None:
+        rows = held.join(last.select(*keys), keys, "left_anti").select(*rows.columns).unionByName(rows)
+    store.commit(rows, touched, stream, epoch)
+
+
+def delta_stream(changes: DataFrame, store: Store, checkpoint: str, stream: str = "changes"):
+    """A streaming query that applies all changes that are there, from where its checkpoint ends."""
+    write = changes.writeStream.foreachBatch(lambda batch, epoch: apply_changes(store, batch, epoch, stream))
+    return write.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, edges: DataFrame | None = None, k: int = 5, wide: int = 20, budget: int = 3000, threshold: float | None = 0.65) -> DataFrame:
