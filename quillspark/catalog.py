@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from .functions import ids, text
 from .functions.embed import hashing_embedding
-from .operators import chunking, context, evaluation, files, gateway, graph, maintenance, postings, retrieval
+from .operators import chunking, collection, context, evaluation, files, gateway, graph, maintenance, postings, retrieval
 from .operators.store import Store
 from .plans import pipelines
 from .sources import readers
 from .storage import new_folder
+from .streaming import webhooks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -99,10 +100,10 @@ def p4(spark, d):
     return asked(spark, d).select("conv_id", "turn", text.query_type(F.col("text")).alias("query_type"))
 
 
-@query("p34_preprocess", f"SELECT conv_id, turn, n AS normalised, {_label_sql('text', text.LANGUAGE_HINTS, 'NULL')} AS language, {_label_sql('lower(n)', text.TYPE_KEYWORDS, chr(39) + 'general' + chr(39))} AS query_type FROM (SELECT *, {NORM_SQL} AS n FROM {ASKED_SQL})")
+@query("p34_preprocess", f"SELECT conv_id, turn, n AS normalised, {_label_sql('text', text.LANGUAGE_HINTS, 'NULL')} AS language, {_label_sql('lower(n)', text.TYPE_KEYWORDS, chr(39) + 'general' + chr(39))} AS query_type, array_to_string([y FOR y, i IN k IF list_position(k, y) = i], ' ') AS keywords FROM (SELECT conv_id, turn, raw AS text, n, {IDENT_SQL} AS k FROM (SELECT conv_id, turn, text AS raw, n AS text, n FROM (SELECT *, {NORM_SQL} AS n FROM {ASKED_SQL})))")
 def p34(spark, d):
     n = asked(spark, d).withColumn("normalised", text.normalise(F.col("text")))
-    return n.select("conv_id", "turn", "normalised", text.language(F.col("text")).alias("language"), text.query_type(F.col("normalised")).alias("query_type"))
+    return n.select("conv_id", "turn", "normalised", text.language(F.col("text")).alias("language"), text.query_type(F.col("normalised")).alias("query_type"), F.array_join(text.identifiers(F.col("normalised")), " ").alias("keywords"))
 
 
 TOK_SQL = "[t FOR t IN string_split_regex(lower(regexp_replace(array_to_string(regexp_extract_all({0}, '[a-zA-Z_][a-zA-Z0-9_]*'), ' '), '([A-Z])', ' \\1', 'g')), ' +') IF length(t) > 1]"
@@ -1034,3 +1035,66 @@ def x3(spark, d):
         pipelines.delta_stream(stream, kept_, f"{where}/checkpoint").awaitTermination()
     rows = pipelines.deduplicated(kept_.read())
     return rows.select("project_id", "file_path", "chunk_hash", F.col("has_secrets_redacted").alias("redacted"), F.array_join("allowed_roles", ",").alias("roles"))
+
+
+# --- the stored collection of vectors -----------------------------------------------------------
+def collected(spark, d) -> str:
+    """The folder of a collection of all vectors, by five projects and two model versions; the second
+    version's are reversed."""
+    where = f"{new_folder(spark, 'collection')}/vectors"
+    e = read(spark, d, "embeddings").select("vec_id", "embedding", F.concat(F.lit("src"), (F.col("vec_id") % 5).cast("string")).alias("project_id"))
+    versions = F.explode(F.array(F.struct(F.lit("1").alias("model_version"), F.col("embedding").alias("v")), F.struct(F.lit("2").alias("model_version"), F.reverse("embedding").alias("v"))))
+    collection.write_collection(e.withColumn("of", versions).select("vec_id", "project_id", "of.model_version", F.col("of.v").alias("embedding")), where)
+    return where
+
+
+@query("k4_collection", f"WITH {DENSE_CTE} SELECT query_id, rank, id, round(score, 6) AS score FROM dr WHERE rank <= 20")
+def k4(spark, d):
+    held = collection.open_collection(spark, collected(spark, d), [f"src{n}" for n in range(5)], "1")
+    return collection.search(held, vector_queries(spark, d), 20, 0.2).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query("k3_purge_version", "SELECT 'src' || (vec_id % 5) AS project_id, v AS model_version, count(*) AS points FROM embeddings, (VALUES ('1'), ('2')) t(v) WHERE NOT (vec_id % 5 = 2 AND v = '1') GROUP BY 1, 2")
+def k3_version(spark, d):
+    where = collected(spark, d)
+    collection.drop_version(spark, where, "src2", "1")
+    left = spark.read.parquet(where).select("project_id", F.col("model_version").cast("string").alias("model_version"))
+    return maintenance.collection_stats(left)
+
+
+# --- the webhook source --------------------------------------------------------------------------
+SECRET = "shared"
+
+
+def received(spark, d) -> DataFrame:
+    """Requests made from events: signups are signed pushes to a branch by the event's number, purchases
+    pushes with a token, views deletions; clicks lose the end of their bodies, errors have forged signatures."""
+    e = read(spark, d, "events")
+    lab = F.col("event_type") == "purchase"
+    owner = F.struct(F.col("user_id").cast("string").alias("id"), F.concat(F.lit("https://git/p"), F.col("user_id").cast("string"), F.lit(".git")).alias("git_http_url"), F.concat(F.lit("https://git/r"), F.col("user_id").cast("string")).alias("clone_url"))
+    ref = F.concat(F.lit("refs/heads/"), F.when(F.col("event_id") % 3 == 0, "topic").otherwise("main"))
+    path = F.concat(F.lit("src/f"), F.col("event_id").cast("string"), F.lit(".py"))
+    commits = F.array(F.struct(F.array(path).alias("added"), F.array(F.lit("é.py"), path).alias("modified")))
+    body = F.encode(F.when(F.col("event_type") == "click", F.expr("substring(b, 1, length(b) - 3)")).otherwise(F.col("b")), "UTF-8")
+    kind = F.when(lab, "Push Hook").when(F.col("event_type") == "view", "delete").otherwise("push")
+    made = e.withColumn("b", F.to_json(F.struct(F.when(lab, owner).alias("project"), F.when(~lab, owner).alias("repository"), ref.alias("ref"), F.sha1(path).alias("after"), commits.alias("commits"))))
+    made = made.withColumn("raw", body).withColumn("signed", ids.signature(F.col("raw"), F.lit(SECRET)))
+    sign = F.when(lab, SECRET).when(F.col("event_type") == "error", F.reverse("signed")).when((F.col("event_type") == "view") & (F.col("event_id") % 2 == 0), None).otherwise(F.col("signed"))
+    return made.select(F.col("event_id").cast("string").alias("request_id"), kind.alias("event_type"), sign.alias("signature"), F.base64("raw").alias("body"))
+
+
+@query("s7_webhooks", """WITH r AS (SELECT CAST(event_id AS VARCHAR) AS request_id, event_type, event_id, user_id, CASE event_type WHEN 'purchase' THEN 'Push Hook' WHEN 'view' THEN 'delete' ELSE 'push' END AS kind FROM events)
+SELECT request_id, kind AS event_type, CASE WHEN event_type = 'error' THEN 'forged' WHEN event_type = 'view' AND event_id % 2 = 0 THEN 'unsigned' WHEN event_type = 'click' THEN 'broken'
+  WHEN event_type = 'view' THEN 'purged' WHEN event_id % 3 = 0 THEN 'skipped:branch_excluded:topic' ELSE 'queued' END AS outcome,
+  CASE WHEN event_type IN ('signup', 'purchase') OR (event_type = 'view' AND event_id % 2 = 1) THEN CAST(user_id AS VARCHAR) END AS project_id,
+  CASE WHEN event_type IN ('signup', 'purchase') OR (event_type = 'view' AND event_id % 2 = 1) THEN 'src/f' || event_id || '.py,é.py' END AS paths FROM r""")
+def s7(spark, d):
+    """Two deliveries; the stream starts again for the second."""
+    where = new_folder(spark, "webhooks")
+    made = received(spark, d)
+    for half in (0, 1):
+        made.where(F.pmod(F.crc32("request_id"), F.lit(2)) == half).write.mode("append").json(f"{where}/inbox")
+        webhooks.listen(webhooks.inbox(spark, f"{where}/inbox"), f"{where}/out", f"{where}/checkpoint", SECRET).awaitTermination()
+    good = webhooks.jobs(spark, f"{where}/out").select("request_id", "event_type", F.col("status").alias("outcome"), "job.project_id", F.array_join("job.changed_files", ",").alias("paths"))
+    none = F.lit(None).cast("string")
+    return good.unionByName(webhooks.quarantine(spark, f"{where}/out").select("request_id", "event_type", F.col("reason").alias("outcome"), none.alias("project_id"), none.alias("paths")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, StringType
 
 OID = "6ba7b8129dad11d180b400c04fd430c8"  # RFC 4122 namespace
 
@@ -59,3 +59,12 @@ def signature_valid(body: pd.Series, signature: pd.Series, secret: pd.Series) ->
         return hmac.compare_digest(s.encode(), k.encode())
 
     return pd.Series([one(b, s, k) for b, s, k in zip(body, signature, secret)])
+
+
+@F.pandas_udf(StringType())
+def signature(body: pd.Series, secret: pd.Series) -> pd.Series:
+    """sha256= and the HMAC-SHA256 of a raw body."""
+    import hashlib
+    import hmac
+
+    return pd.Series(["sha256=" + hmac.new(k.encode(), bytes(b or b""), hashlib.sha256).hexdigest() for b, k in zip(body, secret)])

@@ -33,8 +33,10 @@ def delete_files(existing: DataFrame, gone: DataFrame, keys: list[str]) -> DataF
     return existing.join(gone, keys, "left_anti")
 
 
-def purge(existing: DataFrame, project: str) -> DataFrame:
-    return existing.where(~F.col("project_id").eqNullSafe(project))
+def purge(existing: DataFrame, project: str, version: str | None = None) -> DataFrame:
+    """Without a project, or without one model version of it."""
+    gone = F.col("project_id").eqNullSafe(project)
+    return existing.where(~(gone if version is None else gone & F.col("model_version").eqNullSafe(version)))
 
 
 def dedup_first(chunks: DataFrame, hash_col: str, order: str) -> DataFrame:

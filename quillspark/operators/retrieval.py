@@ -19,6 +19,8 @@ from ..functions import text as T
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 #: Most rows of a query side that may be broadcast.
 BROADCAST_ROWS = 50_000
+#: Most bytes of query vectors that are.
+BROADCAST_BYTES = 64 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -46,13 +48,6 @@ def accessible(project: Column, roles: Column, projects: Column, of: Column) ->
     return F.coalesce(F.array_contains(projects, project) & F.arrays_overlap(roles, of), F.lit(False))
 
 
-def postings(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, term, tf, dl)."""
-    t = docs.select(F.col(id_col).alias("id"), T.tokens(F.col(text)).alias("t"))
-    each = t.select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    return each.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-
-
 def corpus_stats(tokenised: DataFrame) -> DataFrame:
     """(term, df, dl) of documents (id, t): the documents that hold a term; the row of the empty term has
     the number of all documents and their lengths. Partial sums leave each task with its vocabulary."""
@@ -110,8 +105,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 20, threshold: float | None = 0.65, id_col: str = "vec_id", vec: str = "embedding", access: bool = False, own: bool = False) -> DataFrame:
     """(query_id, id, score, rank): exact cosine top-k of (query_id, vector) against all vectors, which
-    stream past the queries in Arrow batches; the k best of a batch leave it. Queries are broadcast in
-    blocks of BROADCAST_ROWS, one pass over the vectors for each block. Vectors of another length or
+    stream past the queries in Arrow batches; a task keeps the k best and emits them once. Queries are broadcast
+    in blocks of BROADCAST_ROWS and BROADCAST_BYTES, one pass over the vectors for each block. Vectors of another length or
     without one score 0. A query's own id is left out unless ``own``. Access as in bm25."""
     spark = vectors.sparkSession
     ship(spark)
@@ -119,11 +114,12 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 20, threshold: float
     d = spread(vectors.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"), *seen).where("id is not null"))
     q = queries.select("query_id", F.col("vector").cast("array<double>").alias("q"), *(["projects", "roles"] if access else []))
     schema = ST.StructType([q.schema["query_id"], ST.StructField("id", d.schema["id"].dataType), ST.StructField("score", ST.DoubleType())])
-    blocks = -(-q.count() // BROADCAST_ROWS)
+    size = q.agg(F.count("*").alias("n"), F.sum(F.size("q")).alias("b")).first()
+    blocks = max(-(-size["n"] // BROADCAST_ROWS), -(-8 * (size["b"] or 0) // BROADCAST_BYTES))
     out = None
     for n in range(blocks):
         mine = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
-        sent = spark.sparkContext.broadcast([tuple(r) for r in mine.collect()])
+        sent = spark.sparkContext.broadcast([tuple(np.array(c) if n == 1 and c is not None else c for n, c in enumerate(r)) for r in mine.collect()])
         got = d.mapInArrow(_nearest(sent, k, threshold, access, own), schema)
         out = got if out is None else out.unionByName(got)
     return ranked(out if out is not None else spark.createDataFrame([], schema), k)
@@ -152,23 +148,31 @@ def _nearest(sent, k: int, threshold: float | None, access: bool, own: bool):
                 may[key] = np.array([project in (r[2] or ()) and bool(set(key[1]) & set(r[3] or ())) for r in asks], bool)
             return may[key]
 
+        floor = np.full(len(asks), -np.inf)  # the kth best score so far of each query
+        held: list[list[tuple[float, float, object]]] = [[] for _ in asks]
+        kind = None
         for whole in batches:
             for b in (whole.slice(j, 2048) for j in range(0, whole.num_rows, 2048)):
+                kind = b.column(0).type
                 got, lists = np.array(b.column(0).to_pylist(), object), b.column(1).to_pylist()
                 mask = np.stack([allowed(p, r) for p, r in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]) if access and len(got) else None
-                rows = []
                 for w, at in by.items():
                     s = np.clip(unit(lists, w) @ q[w].T, -1.0, 1.0) if len(at) else np.zeros((len(got), 0))
-                    for c, i in enumerate(at):
-                        ok = np.ones(len(got), bool) if threshold is None else s[:, c] >= threshold
-                        ok &= mask[:, i] if access else True
-                        ok &= True if own else got != ids[i]
-                        near = np.flatnonzero(ok)
+                    r = np.round(s, 9)
+                    ok = r >= floor[at]
+                    ok &= True if threshold is None else s >= threshold
+                    ok &= mask[:, at] if access else True
+                    for c in np.flatnonzero(ok.any(0)):
+                        i = at[c]
+                        near = np.flatnonzero(ok[:, c] & (True if own else got != ids[i]))
                         if len(near) > k:
-                            r = np.round(s[near, c], 9)
-                            near = near[r >= np.partition(r, len(r) - k)[len(r) - k]]
-                        rows += [(ids[i], got[j], float(s[j, c])) for j in near]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], _kind(ids)), pa.array([r[1] for r in rows], _kind(got)), pa.array([r[2] for r in rows], pa.float64())], ["query_id", "id", "score"])
+                            near = near[r[near, c] >= np.partition(r[near, c], len(near) - k)[len(near) - k]]
+                        held[i] += [(-r[j, c], s[j, c], got[j]) for j in near]
+                        if len(held[i]) > 4 * k:
+                            held[i] = sorted(held[i], key=lambda x: (x[0], x[2]))[:k]
+                            floor[i] = -held[i][-1][0]
+        rows = [(ids[i], j, float(s)) for i, best in enumerate(held) for _, s, j in sorted(best, key=lambda x: (x[0], x[2]))[:k]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], _kind(ids)), pa.array([r[1] for r in rows], kind or pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["query_id", "id", "score"])
 
     return run
 

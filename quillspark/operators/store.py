@@ -41,7 +41,7 @@ class Store:
         for n in reversed(self._numbers()):
             text = self.spark.read.text(f"{self.path}/manifests/{n}", wholetext=True).first()
             try:
-                return json.loads(text[0]) if text else {}
+                return json.loads(text[0] if text else "")
             except ValueError:
                 continue  # its writer was lost
         return {"schema": None, "parts": {}, "epochs": {}, "count": self.parts}
