@@ -14,7 +14,7 @@ from .operators.store import Store
 from .plans import pipelines
 from .sources import readers
 from .storage import new_folder
-from .streaming import webhooks
+from .streaming import jobs, webhooks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1098,3 +1098,26 @@ def s7(spark, d):
     good = webhooks.jobs(spark, f"{where}/out").select("request_id", "event_type", F.col("status").alias("outcome"), "job.project_id", F.array_join("job.changed_files", ",").alias("paths"))
     none = F.lit(None).cast("string")
     return good.unionByName(webhooks.quarantine(spark, f"{where}/out").select("request_id", "event_type", F.col("reason").alias("outcome"), none.alias("project_id"), none.alias("paths")))
+
+
+# --- the life of jobs over a stream ----------------------------------------------------------------
+#: Seconds after which a silent job has timed out.
+SILENT = 36 * 3600
+
+
+@query("x8_lifecycle", f"""WITH e AS (SELECT *, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'error' ELSE 'running' END AS status,
+  coalesce(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), (SELECT max(ts) FROM events) - INTERVAL 1 HOUR) AS next FROM events),
+g AS (SELECT *, status IN ('pending', 'running') AND next > ts + INTERVAL {SILENT} SECOND AS silent, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM e)
+SELECT user_id AS job_id, max(CASE WHEN n = 1 THEN CASE WHEN silent THEN 'timeout' ELSE status END END) AS status, min(ts) AS started_at,
+  max(CASE WHEN n = 1 THEN CASE WHEN silent THEN ts + INTERVAL {SILENT} SECOND WHEN status IN ('success', 'error') THEN ts END END) AS finished_at, count(*) FILTER (silent) AS timeouts FROM g GROUP BY 1""")
+def x8_lifecycle(spark, d):
+    """Events come in two deliveries, in the order of time; the stream starts again for the second."""
+    where = new_folder(spark, "jobs")
+    said = F.create_map(*[F.lit(x) for kv in {"signup": "pending", "purchase": "success", "error": "error", "click": "running", "view": "running"}.items() for x in kv])
+    e = read(spark, d, "events").select(F.col("user_id").alias("job_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), said[F.col("event_type")].alias("status"))
+    middle = e.agg(F.percentile_approx(F.unix_micros("ts"), 0.5)).first()[0]
+    for part in (F.unix_micros("ts") <= middle, F.unix_micros("ts") > middle):
+        e.where(part).write.mode("append").parquet(f"{where}/in")
+        stream = spark.readStream.schema(e.schema).parquet(f"{where}/in")
+        jobs.run(jobs.lifecycle(stream, SILENT), f"{where}/out", f"{where}/checkpoint").awaitTermination()
+    return jobs.state(jobs.written(spark, f"{where}/out"))

@@ -59,29 +59,47 @@ def last_turns(turns: DataFrame, n: int = 8) -> DataFrame:
     return kept.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("history"))
 
 
+def segments(requests: DataFrame, seconds: int, by: str) -> DataFrame:
+    """Adds ``segment``: each key's time line (column ``micros``) is cut where no request came for longer than
+    ``seconds``. Only the first and last time of each key and stretch of ``seconds`` meet in a window; a longer
+    gap lies between two stretches."""
+    stretch = F.floor(F.col("micros") / (seconds * 1_000_000))
+    rows = requests.withColumn("__stretch", stretch)
+    ends = rows.groupBy(by, "__stretch").agg(F.min("micros").alias("lo"), F.max("micros").alias("hi"))
+    line = Window.partitionBy(by).orderBy("__stretch")
+    ends = ends.withColumn("cut", F.coalesce(F.col("lo") - F.lag("hi").over(line) > seconds * 1_000_000, F.lit(False)).cast("long"))
+    ends = ends.withColumn("segment", F.sum("cut").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ends = ends.select(F.col(by).alias("__by"), F.col("__stretch").alias("__of"), "segment")
+    return rows.join(ends, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__stretch") == F.col("__of"))).drop("__by", "__of", "__stretch")
+
+
 def admitted(requests: DataFrame, limit: int = 30, seconds: int = 60, by: str = "user_id") -> DataFrame:
-    """Sliding-window quota: rejected requests leave no trace, so each key is folded in order. The fold
-    keeps at most ``limit`` times; it runs on Arrow batches sorted by key, whatever a key's size."""
-    import pandas as pd
+    """Sliding-window quota: rejected requests leave no trace, so requests are folded in order. Where a key
+    was silent for longer than the window nothing is left of what came before, so each stretch between such gaps
+    is folded by itself and one key is many tasks. The fold keeps at most ``limit`` times; it runs on
+    Arrow batches sorted by key, whatever a stretch's size."""
+    from collections import deque
 
     schema = f"{by} long, event_id long, ts timestamp, admitted boolean"
 
     def run(frames):
-        key, kept = None, []
+        key, kept = None, deque()
         for f in frames:
             out = []
-            for k, i, t in zip(f[by], f["event_id"], f["ts"]):
+            for k, t in zip(f[by].tolist(), f["micros"].tolist()):
                 if k != key:
-                    key, kept = k, []
-                kept = [x for x in kept if x >= t - pd.Timedelta(seconds=seconds)]
-                ok = len(kept) < limit
-                if ok:
+                    key, kept = k, deque()
+                while kept and kept[0] < t - seconds * 1_000_000:
+                    kept.popleft()
+                out.append(len(kept) < limit)
+                if out[-1]:
                     kept.append(t)
-                out.append(ok)
-            yield f.assign(admitted=out)
+            yield f[[by, "event_id", "ts"]].assign(admitted=out)
 
-    rows = requests.select(F.col(by).cast("long"), F.col("event_id").cast("long"), F.col("ts").cast("timestamp"))
-    return rows.repartition(by).sortWithinPartitions(by, "ts", "event_id").mapInPandas(run, schema)
+    ts = F.col("ts").cast("timestamp")
+    rows = requests.select(F.col(by).cast("long"), F.col("event_id").cast("long"), ts.alias("ts"), F.unix_micros(ts).alias("micros"))
+    dealt = segments(rows, seconds, by).repartition(by, "segment").sortWithinPartitions(by, "micros", "event_id")
+    return dealt.select(by, "event_id", "ts", "micros").mapInPandas(run, schema)
 
 
 def demand(requests: DataFrame, seconds: int = 60, by: str = "user_id") -> DataFrame:

@@ -216,6 +216,24 @@ def test_quota_against_a_deque(spark):
     assert got == want and not all(want.values())
 
 
+def test_quota_of_one_hot_user(spark):
+    """A user with a million requests, silent now and then: its stretches are folded in several tasks."""
+    micros = F.expr("timestamp_micros(id * 1000000 + (id div 10000) * 61000001)")
+    df = spark.range(1_000_000).select(F.lit(7).alias("user_id"), F.col("id").alias("event_id"), micros.alias("ts"))
+    got = gateway.admitted(df, 30, 60)
+    per = got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.count_if("admitted").alias("ok")).collect()
+    assert len(per) > 1 and sum(r.n for r in per) == 1_000_000 and max(r.n for r in per) < 700_000
+    one = sum(1 for k in range(10000) if k % 61 < 30)  # of each stretch: 30, then none until the first is 60 s old
+    assert sum(r.ok for r in per) == 100 * one
+
+
+def test_quota_segments(spark):
+    rows = [(1, 0), (1, 60), (1, 120), (1, 181), (1, 182), (2, 5), (None, 1), (None, 100), (1, -200)]
+    df = spark.createDataFrame([(k, t * 1_000_000) for k, t in rows], "user_id long, micros long")
+    got = sorted(((r.user_id, r.micros // 1_000_000, r.segment) for r in gateway.segments(df, 60, "user_id").collect()), key=str)
+    assert got == sorted([(1, -200, 0), (1, 0, 1), (1, 60, 1), (1, 120, 1), (1, 181, 2), (1, 182, 2), (2, 5, 0), (None, 1, 0), (None, 100, 1)], key=str)
+
+
 def test_live_counters(spark, tmp_path):
     (tmp_path / "in").mkdir()
     spark.read.parquet(f"{SF}/events.parquet").write.mode("overwrite").parquet(str(tmp_path / "in"))
