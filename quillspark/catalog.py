@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import ids, text
 from .functions.embed import hashing_embedding
-from .operators import chunking, collection, context, evaluation, files, gateway, graph, maintenance, postings, retrieval
+from .operators import chunking, collection, context, evaluation, files, gateway, graph, maintenance, postings, retrieval, substrings
 from .operators.store import Store
 from .plans import pipelines
 from .sources import readers
@@ -508,7 +508,7 @@ ev AS (SELECT query_id, CASE WHEN len(expected) > 0 THEN len(list_intersect(expe
 
 def eval_cases(spark, d) -> DataFrame:
     docs, q = read(spark, d, "documents"), bench_queries(spark, d)
-    hit = retrieval.spread(docs.select("doc_id", "text")).join(retrieval.small(q), F.contains("text", "query"))
+    hit = substrings.passages(retrieval.spread(docs.select("doc_id", "text")), "text", q, "query")
     exp = hit.groupBy("query_id").agg(F.array_sort(F.collect_list("doc_id")).alias("expected"))
     got = bm25_top(spark, d).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("retrieved"))
     none = F.array().cast("array<long>")

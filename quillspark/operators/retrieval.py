@@ -201,7 +201,9 @@ def rerank(candidates: DataFrame, query: str = "query", content: str = "content"
 
 def symbols(names: DataFrame, keywords: DataFrame, k: int = 5) -> DataFrame:
     """First k names (by ord) whose last :: segment contains the keyword, case-sensitively."""
-    last = F.element_at(F.split(F.col("fqn"), "::"), -1)
-    hit = names.join(small(keywords.select("query_id", "keyword").distinct()), F.contains(last, F.col("keyword")))
+    from .substrings import holding
+
+    last = names.withColumn("__last", F.element_at(F.split(F.col("fqn"), "::"), -1))
+    hit = holding(last, "__last", keywords.select("query_id", "keyword").distinct(), "keyword").drop("__last")
     w = Window.partitionBy("query_id", "keyword").orderBy("ord", "fqn")
     return hit.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.embed import hashing_embedding
-from ..operators import chunking, context, files, graph, maintenance, retrieval
+from ..operators import chunking, context, files, graph, maintenance, retrieval, substrings
 from ..operators.store import Store
 from ..storage import kept
 
@@ -120,7 +120,7 @@ def named(chunks: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
     """Ranked list (query_id, rank, id) of the chunks whose name holds a keyword of the query: the first
     k that the request may see for each keyword, keywords in their order."""
     words = asked.select("query_id", "projects", "roles", F.posexplode(text.identifiers(F.col("normalised"))).alias("pos", "keyword"))
-    hit = chunks.select("id", "node_name", "project_id", "allowed_roles").join(retrieval.small(words), F.contains("node_name", "keyword"))
+    hit = substrings.holding(chunks.select("id", "node_name", "project_id", "allowed_roles"), "node_name", words, "keyword")
     hit = hit.where(retrieval.accessible(*map(F.col, ("project_id", "allowed_roles", "projects", "roles"))))
     of_word = Window.partitionBy("query_id", "pos").orderBy("id")
     hit = hit.withColumn("nth", F.row_number().over(of_word)).where(F.col("nth") <= k)
