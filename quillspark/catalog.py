@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import ids, text
-from .functions.embed import hashing_embedding
+from .functions import ids, inference, text
+from .functions.embed import hashing_embedding, hashing_model
 from .operators import chunking, collection, context, evaluation, files, gateway, graph, maintenance, postings, retrieval, substrings
 from .operators.store import Store
 from .plans import pipelines
@@ -1121,3 +1121,25 @@ def x8_lifecycle(spark, d):
         stream = spark.readStream.schema(e.schema).parquet(f"{where}/in")
         jobs.run(jobs.lifecycle(stream, SILENT), f"{where}/out", f"{where}/checkpoint").awaitTermination()
     return jobs.state(jobs.written(spark, f"{where}/out"))
+
+
+# --- model inference -------------------------------------------------------------------------------
+def flaky(every: int = 3):
+    """The hashing model behind a connection that fails at every third call."""
+    model, calls = hashing_model(), [0]
+
+    def call(texts):
+        calls[0] += 1
+        if calls[0] % every == 0:
+            raise ConnectionError("no answer")
+        return model([t.split(" ") if t else [] for t in texts])
+
+    return call
+
+
+@query("e1_inference", "SELECT doc_id, 'hashing' AS embedding_model, '1' AS embedding_model_version, CASE WHEN text IS NOT NULL THEN 64 END AS dim, CASE WHEN text IS NOT NULL THEN true END AS whole, CAST(NULL AS VARCHAR) AS embedding_error, true AS stamped FROM documents")
+def e1_inference(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    got = inference.embedded(docs, F.array_join(text.tokens(F.col("text")), " "), flaky, "hashing", "1", wait=0.01)
+    same = F.col("embedding") == hashing_embedding(F.col("text"))
+    return got.select("doc_id", "embedding_model", "embedding_model_version", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dim"), same.alias("whole"), "embedding_error", F.col("indexed_at").isNotNull().alias("stamped"))

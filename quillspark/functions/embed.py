@@ -13,26 +13,36 @@ from pyspark.sql import functions as F
 from .text import tokens
 
 
+def hashing_model(dim: int = 64):
+    """A function from lists of tokens to vectors."""
+    import zlib
+
+    known: dict[str, tuple[int, float]] = {}
+
+    def model(texts) -> list[np.ndarray]:
+        out = []
+        for words in texts:
+            v = np.zeros(dim)
+            for w in () if words is None else words:
+                if w not in known:
+                    if len(known) > 500_000:
+                        known.clear()
+                    h = zlib.crc32(w.encode())
+                    known[w] = h % dim, 1.0 if h >> 31 else -1.0
+                k, s = known[w]
+                v[k] += s
+            n = np.sqrt((v * v).sum())
+            out.append((v / n if n else v).astype(np.float32))
+        return out
+
+    return model
+
+
 def hashing_embedding(text: Column, dim: int = 64) -> Column:
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import zlib
-
-        known: dict[str, tuple[int, float]] = {}
+        model = hashing_model(dim)
         for batch in batches:
-            out = []
-            for words in batch:
-                v = np.zeros(dim)
-                for w in () if words is None else words:
-                    if w not in known:
-                        if len(known) > 500_000:
-                            known.clear()
-                        h = zlib.crc32(w.encode())
-                        known[w] = h % dim, 1.0 if h >> 31 else -1.0
-                    k, s = known[w]
-                    v[k] += s
-                n = np.sqrt((v * v).sum())
-                out.append((v / n if n else v).astype(np.float32))
-            yield pd.Series(out)
+            yield pd.Series(model(batch))
 
     return embed(tokens(text))
