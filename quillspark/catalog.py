@@ -14,7 +14,7 @@ from .operators.store import Store
 from .plans import pipelines
 from .sources import readers
 from .storage import new_folder
-from .streaming import jobs, webhooks
+from .streaming import jobs, sessions, webhooks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1143,3 +1143,18 @@ def e1_inference(spark, d):
     got = inference.embedded(docs, F.array_join(text.tokens(F.col("text")), " "), flaky, "hashing", "1", wait=0.01)
     same = F.col("embedding") == hashing_embedding(F.col("text"))
     return got.select("doc_id", "embedding_model", "embedding_model_version", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dim"), same.alias("whole"), "embedding_error", F.col("indexed_at").isNotNull().alias("stamped"))
+
+
+@query("x6_sessions", """WITH c AS (SELECT conv_id, max(turn) FILTER (role = 'system' AND turn > 0) AS cleared, max(turn) AS last_turn FROM conversations GROUP BY 1),
+r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations JOIN c USING (conv_id) WHERE turn > coalesce(cleared, -1)),
+h AS (SELECT conv_id, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) AS turns FROM r WHERE n <= 3 GROUP BY 1) SELECT conv_id, coalesce(turns, '') AS turns, last_turn FROM c LEFT JOIN h USING (conv_id)""")
+def x6_sessions(spark, d):
+    """A system's turn clears what came before it; turns come in two deliveries, the stream starts again for the second."""
+    where = new_folder(spark, "sessions")
+    control = F.when((F.col("role") == "system") & (F.col("turn") > 0), "clear")
+    said = read(spark, d, "conversations").select("conv_id", "turn", "role", "text", control.alias("control"))
+    for part in (F.col("turn") <= 2, F.col("turn") > 2):
+        said.where(part).write.mode("append").parquet(f"{where}/in")
+        stream = spark.readStream.schema(sessions.SAID).parquet(f"{where}/in")
+        sessions.run(sessions.sessions(stream, 3), f"{where}/out", f"{where}/checkpoint").awaitTermination()
+    return sessions.state(spark, f"{where}/out").select("conv_id", F.array_join(F.transform("turns", lambda t: t["turn"].cast("string")), ",").alias("turns"), "last_turn")
