@@ -37,8 +37,8 @@ from pyspark.sql import types as ST
 
 from .. import ship
 from ..functions import text as T
-from ..storage import kept
-from .retrieval import EPSILON, K1, B, ranked, spread
+from ..storage import kept, new_folder, remove
+from .retrieval import EPSILON, K1, B, ranked
 
 #: Documents of a range, partitions of the files by term, and terms of queries that are sent to tasks at once.
 RANGE, BUCKETS, ASKS = 1024, 16, 200_000
@@ -51,23 +51,33 @@ def bucket_of(term: Column) -> Column:
 
 
 def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> None:
-    """Writes the index of documents (id_col, text) to a folder that holds none."""
-    t = spread(docs.select(F.col(id_col).alias("id"), T.tokens(F.col(text)).alias("t")))
-    each = t.select("id", F.size("t").alias("dl"), F.explode(F.array_append("t", "")).alias("term"))
-    flat = kept(each.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "postings")
-    count = kept(flat.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("dl")), "counts")
+    """Writes the index of documents (id_col, text) to a folder that holds none. Texts are dealt by range, so
+    that all postings of a block are made in one task; nothing but the texts and the counts of terms is shuffled."""
+    spark = docs.sparkSession
+    ranges = max(1, -(-docs.count() // RANGE))
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).withColumn("range", F.pmod(F.xxhash64("id"), F.lit(ranges)))
+    t = rows.repartition(parts, "range").select("range", "id", T.tokens(F.col("text")).alias("t"))
+    each = t.select("range", "id", F.size("t").alias("dl"), F.explode(F.array_append("t", "")).alias("term"))
+    each = each.groupBy("range", "id", "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
+    made = each.groupBy("range", "term").agg(F.array_sort(F.collect_list(F.struct("id", "tf", "dl"))).alias("p")).select("range", "term", "p.id", "p.tf", "p.dl")
+    where = new_folder(spark, "postings")
+    made.write.parquet(where)
+    flat = spark.read.schema(made.schema).parquet(where)
+    lengths = F.aggregate("dl", F.lit(0).cast("long"), lambda s, x: s + x)
+    count = kept(flat.groupBy("term").agg(F.sum(F.size("id")).alias("df"), F.sum(F.when(F.col("term") == "", lengths)).alias("dl")), "counts")
     whole = count.where("term = ''").first()
     total, avgdl = (whole["df"], whole["dl"] / whole["df"] or 1.0) if whole else (0, 1.0)
     terms = count.where("term <> ''").withColumn("idf0", F.log(F.lit(total) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = terms.agg(F.avg("idf0")).first()[0] or 0.0
     terms = terms.select("term", "df", F.when(F.col("idf0") < 0, EPSILON * mean).otherwise(F.col("idf0")).alias("idf"))
-    by_term = lambda df, *more: df.withColumn("bucket", bucket_of(F.col("term"))).repartition("bucket", *more).sortWithinPartitions("bucket", "term").write.partitionBy("bucket")
+    by_term = lambda df: df.withColumn("bucket", bucket_of(F.col("term"))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket")
     by_term(terms).parquet(f"{path}/terms")
-    flat = flat.withColumn("range", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-total // RANGE)))))
-    flat.where("term = ''").groupBy("range").agg(F.array_sort(F.collect_list("id")).alias("id")).write.parquet(f"{path}/ranges")
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
-    blocks = flat.where("term <> ''").groupBy("term", "range").agg(F.max(part).alias("top"), F.array_sort(F.collect_list(F.struct("id", part.alias("part")))).alias("p"))
-    by_term(blocks.select("term", "range", "top", "p.id", "p.part"), F.pmod("range", F.lit(8))).parquet(f"{path}/blocks")
+    flat.where("term = ''").select("range", "id").write.parquet(f"{path}/ranges")
+    part = F.zip_with("tf", "dl", lambda tf, dl: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(avgdl))))
+    blocks = flat.where("term <> ''").select("term", "range", "id", part.alias("part"))
+    by_term(blocks.select("term", "range", F.array_max("part").alias("top"), "id", "part")).parquet(f"{path}/blocks")
+    remove(spark, where)
 
 
 class Scorer:

@@ -30,11 +30,12 @@ def shared_folder(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder; what is written there goes when the driver ends."""
     where = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, where)
+    atexit.register(remove, spark, where)
     return where
 
 
-def _remove(spark: SparkSession, where: str) -> None:
+def remove(spark: SparkSession, where: str) -> None:
+    """Deletes a folder, for what no plan reads any more."""
     with contextlib.suppress(Exception):  # the session may be gone
         path = spark._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
