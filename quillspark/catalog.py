@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import ids, inference, text
 from .functions.embed import hashing_embedding, hashing_model
-from .operators import chunking, collection, context, evaluation, files, gateway, graph, maintenance, postings, retrieval, substrings
+from .operators import cache, chunking, collection, context, evaluation, files, gateway, graph, maintenance, postings, retrieval, substrings
 from .operators.store import Store
 from .plans import pipelines
 from .sources import readers
 from .storage import new_folder
+from .streaming import cache as cache_state
 from .streaming import jobs, sessions, webhooks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -804,12 +805,13 @@ def t6_chunks(spark, d):
     return graph.edges_of(chunking.chunk_files(spark, source_files(spark)))
 
 
-@query("g7_resolved_calls", """SELECT DISTINCT e.src, n.fqn FROM (SELECT 's' || ps.l_suppkey AS src, 'mod.' || p_name AS dst FROM lineitem ps JOIN part ON p_partkey = l_partkey) e
-JOIN (SELECT p_name AS node_name, 'r::' || p_brand || '::' || p_name AS fqn FROM part) n ON list_last(string_split(e.dst, '.')) = n.node_name""")
+@query("g7_resolved_calls", """SELECT DISTINCT e.project_id, e.src, n.fqn FROM (SELECT 'p' || l_suppkey % 3 AS project_id, 's' || l_suppkey AS src, 'mod.' || p_name AS dst FROM lineitem JOIN part ON p_partkey = l_partkey) e
+JOIN (SELECT 'p' || p_partkey % 3 AS project_id, p_name AS node_name, 'r::' || p_brand || '::' || p_name AS fqn FROM part) n ON e.project_id = n.project_id AND list_last(string_split(e.dst, '.')) = n.node_name""")
 def g7(spark, d):
     part = read(spark, d, "part")
-    calls = read(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("mod."), "p_name").alias("dst"))
-    return graph.resolve(calls, part.select(F.col("p_name").alias("node_name"), F.concat(F.lit("r::"), "p_brand", F.lit("::"), "p_name").alias("fqn")))
+    project = lambda c: F.concat(F.lit("p"), (F.col(c) % 3).cast("string")).alias("project_id")
+    calls = read(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(project("l_suppkey"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("mod."), "p_name").alias("dst"))
+    return graph.resolve(calls, part.select(project("p_partkey"), F.col("p_name").alias("node_name"), F.concat(F.lit("r::"), "p_brand", F.lit("::"), "p_name").alias("fqn")))
 
 
 PUSHES = [
@@ -897,7 +899,7 @@ def k6(spark, d):
 def cached(spark, d) -> DataFrame:
     e = read(spark, d, "embeddings")
     asked = e.select(F.concat(F.lit("u"), F.col("label").cast("string")).alias("user_id"), F.array(F.concat(F.lit("p"), (F.col("vec_id") % 2).cast("string"))).alias("projects"), F.concat(F.lit("question "), F.col("vec_id").cast("string")).alias("query"), F.col("embedding").alias("query_embedding"), F.col("vec_id").alias("result"), F.expr("timestamp_ntz '2024-01-01'").alias("ts"))
-    return maintenance.cache_entry(asked)
+    return cache.cache_entry(asked)
 
 
 @query("j6_cache_lookup", """WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS result, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 9) AS sim
@@ -906,7 +908,7 @@ SELECT query_id, arg_min(result, struct_pack(s := -sim, i := result)) AS result
 def j6(spark, d):
     q = read(spark, d, "embeddings").where("vec_id % 50 = 0")
     asked = q.select(F.col("vec_id").alias("query_id"), F.concat(F.lit("u"), F.col("label").cast("string")).alias("user_id"), F.array(F.lit("p1")).alias("projects"), F.col("embedding").alias("vector"), F.expr("timestamp_ntz '2024-01-01 00:30:00'").alias("now"))
-    return maintenance.cache_lookup(cached(spark, d), asked, 0.2)
+    return cache.cache_lookup(cached(spark, d), asked, 0.2)
 
 
 @query("a14_job_counters", """WITH f AS (SELECT source AS job_id, n_chars, CASE WHEN n_chars > 500 THEN 'indexed' WHEN doc_id % 9 = 0 THEN 'waiting' ELSE 'skipped' END AS status, CASE WHEN n_chars <= 100 THEN 'tiny' ELSE 'small' END AS reason, CAST(length(text) // 1000 AS BIGINT) AS chunks FROM documents),
@@ -1158,3 +1160,45 @@ def x6_sessions(spark, d):
         stream = spark.readStream.schema(sessions.SAID).parquet(f"{where}/in")
         sessions.run(sessions.sessions(stream, 3), f"{where}/out", f"{where}/checkpoint").awaitTermination()
     return sessions.state(spark, f"{where}/out").select("conv_id", F.array_join(F.transform("turns", lambda t: t["turn"].cast("string")), ",").alias("turns"), "last_turn")
+
+
+# --- the cache as state ----------------------------------------------------------------------------
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_letters = lambda expr: f"CAST(list_transform(string_split('{LETTERS}', ''), lambda c: length({expr}) - length(replace({expr}, c, ''))) AS DOUBLE[])"
+
+
+def letter_counts(text_: str):
+    """How often each letter is in a text, as a vector that SQL can make too."""
+    return F.transform(F.split(F.lit(LETTERS), ""), lambda c: (F.length(text_) - F.length(F.replace(F.col(text_), c))).cast("double"))
+
+
+@query("x4_cache_stream", f"""WITH t AS (SELECT *, conv_id * 60 + turn * 5 AS sec, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
+p AS (SELECT conv_id % 2 AS h, sec, conv_id || ':' || turn AS result, {_letters("before")} AS v FROM t WHERE role = 'assistant' AND before IS NOT NULL),
+a AS (SELECT conv_id % 2 AS h, sec, conv_id || ':' || turn AS id, {_letters("text")} AS v FROM t WHERE role = 'user' AND text IS NOT NULL),
+s AS (SELECT id, result, round(list_cosine_similarity(a.v, p.v), 9) AS sim FROM a JOIN p ON a.h = p.h AND p.sec <= a.sec AND a.sec < p.sec + 600 WHERE list_inner_product(a.v, a.v) > 0 AND list_inner_product(p.v, p.v) > 0)
+SELECT id, arg_min(result, struct_pack(s := -sim, r := result)) AS result FROM s WHERE sim >= 0.95 GROUP BY 1""")
+def x4_cache_stream(spark, d):
+    """Users ask, and an assistant's turn stores its answer under the text before it, for ten minutes; a conversation
+    begins each minute. Turns come in three deliveries by time, and the stream starts again for each."""
+    where = new_folder(spark, "cache")
+    said = cache_said(read(spark, d, "conversations"))
+    edges = said.agg(F.percentile_approx(F.unix_micros("ts"), [1 / 3, 2 / 3])).first()[0]
+    if edges is None:  # an empty table
+        return said.select("id", "result").limit(0)
+    part = F.when(F.unix_micros("ts") <= edges[0], 0).when(F.unix_micros("ts") <= edges[1], 1).otherwise(2)
+    for n in range(3):
+        said.where(part == n).write.mode("append").parquet(f"{where}/in")
+        stream = spark.readStream.schema(cache_state.SAID).parquet(f"{where}/in")
+        cache_state.run(cache_state.hits(stream, 600), f"{where}/out", f"{where}/checkpoint").awaitTermination()
+    return cache_state.answers(spark, f"{where}/out")
+
+
+def cache_said(turns: DataFrame) -> DataFrame:
+    at = lambda c: F.col(c).cast("string")
+    t = turns.withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    t = t.where("(role = 'user' and text is not null) or (role = 'assistant' and before is not null)")
+    t = t.withColumns({"put": F.col("role") == "assistant", "key": F.concat_ws(":", at("conv_id"), at("turn"))}).withColumn("said", F.when(F.col("put"), F.col("before")).otherwise(F.col("text")))
+    return t.select(
+        F.when(F.col("put"), "put").otherwise("ask").alias("kind"), ids.rbac_hash(F.concat(F.lit("u"), (F.col("conv_id") % 2).cast("string")), F.array(F.lit("p"))).alias("rbac_hash"), F.col("key").alias("id"),
+        F.timestamp_seconds(F.col("conv_id") * 60 + F.col("turn") * 5).alias("ts"), letter_counts("said").alias("vector"), F.when(F.col("put"), F.col("key")).alias("result"),
+    )

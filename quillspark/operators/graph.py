@@ -66,7 +66,19 @@ def context(edges: DataFrame) -> DataFrame:
     return degrees.join(first, "fqn", "left").select("fqn", "importance", "called_by", "n_calls")
 
 
-def resolve(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Raw callee names joined with node names: (src, fqn)."""
-    raw = edges.withColumn("node_name", F.element_at(F.split("dst", "\\."), -1))
-    return raw.join(nodes.select("node_name", "fqn"), "node_name").select("src", "fqn").distinct()
+#: About as many calls of one name in a project meet in one group; more are dealt over more groups.
+CALLS = 8192
+
+
+def resolve(edges: DataFrame, nodes: DataFrame, calls: int = CALLS) -> DataFrame:
+    """Raw callee names joined with the names of the same project's nodes: (project_id, src, fqn), for edges
+    (project_id, src, dst) and nodes (project_id, node_name, fqn). A name that is defined more than once gives
+    all of its nodes. Repeated calls and nodes count once before they meet, and the calls of a frequent name are
+    dealt over as many groups as their count asks for, each with the nodes of that name."""
+    by = ["project_id", "node_name"]
+    raw = edges.select("project_id", "src", F.element_at(F.split("dst", "\\."), -1).alias("node_name")).dropna().distinct()
+    to = nodes.select(*by, "fqn").dropna().distinct()
+    many = raw.groupBy(*by).agg(F.ceil(F.count("*") / calls).cast("int").alias("groups"))
+    to = to.join(many, by).select(*by, "fqn", "groups", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("n"))
+    raw = raw.join(many.where("groups > 1"), by, "left").withColumn("n", F.pmod(F.xxhash64("src"), F.coalesce("groups", F.lit(1))).cast("int"))
+    return raw.drop("groups").join(to.drop("groups"), [*by, "n"]).select("project_id", "src", "fqn").distinct()

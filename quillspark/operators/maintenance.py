@@ -79,26 +79,3 @@ def unwrapped(results: DataFrame, source: str) -> DataFrame:
     only be in the payload: columns id, score, payload, result.payload (structs with chunk_id)."""
     body = F.coalesce("payload", "result.payload")
     return results.select(F.coalesce(F.col("id").cast("string"), body["chunk_id"]).alias("id"), "score", body.alias("payload"), F.lit(source).alias("source"))
-
-
-def cache_entry(entries: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
-    """Cache rows (rbac_hash, query_preview, query_embedding, result, expires_at) of answered requests
-    (user_id, projects, query, query_embedding, result, ts)."""
-    from ..functions import ids
-
-    return entries.select(
-        ids.rbac_hash(F.col("user_id"), F.col("projects")).alias("rbac_hash"), F.substring("query", 1, 120).alias("query_preview"), "query_embedding", "result",
-        (F.col("ts") + F.make_dt_interval(secs=F.lit(ttl_seconds))).alias("expires_at"),
-    )
-
-
-def cache_lookup(cache: DataFrame, requests: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """(query_id, result): of the live entries with the request's access hash the most similar, if it reaches
-    the threshold; ties go to the smaller result. Requests: query_id, user_id, projects, vector, now."""
-    from ..functions import ids
-    from .retrieval import cosine
-
-    asked = requests.select("query_id", "vector", "now", ids.rbac_hash(F.col("user_id"), F.col("projects")).alias("rbac_hash"))
-    met = cache.join(asked, "rbac_hash").where("expires_at > now").withColumn("sim", F.round(cosine(F.col("query_embedding"), F.col("vector")), 9))
-    best = met.where(F.col("sim") >= threshold).groupBy("query_id").agg(F.min(F.struct((-F.col("sim")).alias("s"), "result")).alias("b"))
-    return best.select("query_id", "b.result")
