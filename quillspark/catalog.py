@@ -13,7 +13,7 @@ from .operators import cache, chunking, collection, context, evaluation, files,
 from .operators.store import Store
 from .plans import pipelines
 from .sources import readers
-from .storage import new_folder
+from .storage import kept, new_folder
 from .streaming import cache as cache_state
 from .streaming import jobs, sessions, webhooks
 
@@ -1202,3 +1202,33 @@ def cache_said(turns: DataFrame) -> DataFrame:
         F.when(F.col("put"), "put").otherwise("ask").alias("kind"), ids.rbac_hash(F.concat(F.lit("u"), (F.col("conv_id") % 2).cast("string")), F.array(F.lit("p"))).alias("rbac_hash"), F.col("key").alias("id"),
         F.timestamp_seconds(F.col("conv_id") * 60 + F.col("turn") * 5).alias("ts"), letter_counts("said").alias("vector"), F.when(F.col("put"), F.col("key")).alias("result"),
     )
+
+
+# --- hypothetical snippets -------------------------------------------------------------------------
+def stub_writer():
+    """In the place of a text model: the end of the question; it fails on some and says nothing to others."""
+
+    def write(prompt: str) -> str:
+        asked = prompt[len(pipelines.ASK) :]
+        if len(asked) % 5 == 0:
+            raise TimeoutError("no answer")
+        return "\n " if len(asked) % 5 == 1 else f" {asked[-200:]}\n"
+
+    return write
+
+
+@query("p5_hypothetical", rf"""WITH n AS (SELECT item_id, text AS raw, {NORM_SQL} AS normalised FROM benchmark),
+h AS (SELECT *, CASE WHEN length(raw) % 5 > 1 THEN nullif(regexp_replace(right(raw, 200), '^[\s\x0b]+|[\s\x0b]+$', '', 'g'), '') END AS hypothetical FROM n),
+q AS (SELECT item_id AS query_id, hypothetical IS NOT NULL AS written, {_letters("coalesce(hypothetical, normalised)")} AS v FROM h),
+d AS (SELECT doc_id AS id, {_letters("text")} AS v FROM documents),
+s AS (SELECT query_id, written, id, round(CASE WHEN list_inner_product(q.v, q.v) = 0 OR list_inner_product(d.v, d.v) = 0 THEN 0 ELSE list_cosine_similarity(q.v, d.v) END, 9) AS score FROM q, d),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s)
+SELECT query_id, written, rank, id, round(score, 6) AS score FROM r WHERE rank <= 5""")
+def p5(spark, d):
+    """Each benchmark item's snippet, or the item itself where there is none, against all documents."""
+    asked = pipelines.hypothetical(bench_queries(spark, d), stub_writer).withColumn("normalised", text.normalise(F.col("query")))
+    asked = asked.select("query_id", F.col("hypothetical").isNotNull().alias("written"), pipelines.searched(asked).alias("search"))
+    asked = kept(asked.select("query_id", "written", letter_counts("search").alias("vector")), "asked")
+    docs = read(spark, d, "documents").select("doc_id", letter_counts("text").alias("vector"))
+    found = retrieval.dense(docs, asked, 5, None, "doc_id", "vector", own=True)
+    return found.join(asked.select("query_id", "written"), "query_id").select("query_id", "written", "rank", "id", F.round("score", 6).alias("score"))

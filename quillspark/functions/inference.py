@@ -9,10 +9,11 @@ comes out once, with the model's name and version and the time of the query. Nul
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
@@ -67,3 +68,16 @@ def embedded(rows: DataFrame, text, load: Callable[[], Model], model: str, versi
     schema = ST.StructType([*rows.schema.fields, ST.StructField("embedding", ST.ArrayType(ST.FloatType())), ST.StructField("embedding_error", ST.StringType())])
     got = rows.select("*", text.alias("__text")).mapInArrow(inferred(load, (model, version), batch, attempts, wait), schema)
     return got.withColumns({"embedding_model": F.lit(model), "embedding_model_version": F.lit(version), "indexed_at": F.current_timestamp()})
+
+
+def generated(prompt: Column, load: Callable[[], Callable[[str], str | None]]) -> Column:
+    """What a text model says to each prompt, without blanks at its ends; null where it fails or says nothing and
+    where the prompt is null. ``load`` gives the model, once for each task."""
+
+    @F.pandas_udf("string")
+    def say(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for batch in batches:
+            yield pd.Series([None if p is None else answered(lambda t: [model(t[0])], [p], 1, 0)[0][0] for p in batch], dtype=object)
+
+    return F.nullif(F.regexp_replace(say(prompt), r"^\s+|\s+$", ""), F.lit(""))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import inference, text
 from ..functions.embed import hashing_embedding
 from ..operators import chunking, context, files, graph, maintenance, retrieval, substrings
 from ..operators.store import Store
@@ -70,17 +72,33 @@ def delta_stream(changes: DataFrame, store: Store, checkpoint: str, stream: str
     return write.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: What a text model is asked, before the query.
+ASK = "Write at most twenty lines of code that answer this question, and nothing else:\n\n"
+
+
+def hypothetical(queries: DataFrame, load: Callable[[], Callable[[str], str | None]]) -> DataFrame:
+    """queries with the snippet that a text model writes for each, null where it has none."""
+    return queries.withColumn("hypothetical", inference.generated(F.concat(F.lit(ASK), "query"), load))
+
+
+def searched(asked: DataFrame) -> Column:
+    """The text whose vector is searched for: the hypothetical snippet, where there is one, or the normalised query."""
+    return F.coalesce(F.nullif("hypothetical", F.lit("")), "normalised") if "hypothetical" in asked.columns else F.col("normalised")
+
+
 def retrieve(queries: DataFrame, chunks: DataFrame, edges: DataFrame | None = None, k: int = 5, wide: int = 20, budget: int = 3000, threshold: float | None = 0.65) -> DataFrame:
     """(query_id, context, sources, callers, tokens) of requests (query_id, query, projects, roles, vector)
     over chunks (chunk_id, content, project_id, allowed_roles, embedding, file_path, start_line, end_line,
-    commit_hash, repository_name, node_name, language). A column ``hypothetical`` of the queries, where
-    there is one, replaces the text that is searched for.
+    commit_hash, repository_name, node_name, language). Without a column vector the queries' search text
+    (``searched``) is embedded; BM25 and symbols always ask for the query itself.
 
     Requests see rows of their projects that one of their roles may see, before anything is ranked.
     Dense, BM25 and symbol lists are fused; the ``wide`` best are reranked against the query, and the k best
     of these enter the context while the budget lasts, followed by first callers; edges are (src, dst) of repository::file::name."""
-    text_of = F.coalesce("hypothetical", "normalised") if "hypothetical" in queries.columns else F.col("normalised")
-    asked = queries.withColumn("normalised", text.normalise(F.col("query"))).withColumn("query", text_of)
+    asked = queries.withColumn("normalised", text.normalise(F.col("query")))
+    if "vector" not in queries.columns:
+        asked = asked.withColumn("vector", hashing_embedding(searched(asked)))
+    asked = asked.withColumn("query", F.col("normalised"))
     body = chunks.withColumnRenamed("chunk_id", "id")
     lists = [
         retrieval.dense(body, asked, wide, threshold, "id", "embedding", access=True, own=True),
