@@ -52,6 +52,21 @@ def _values(rows: list[tuple], names: str) -> str:
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) t({names}))"
 
 
+class Derived:
+    """Rows that expressions, which Spark and DuckDB read alike, make of a given table, and typed rows of edge cases."""
+
+    def __init__(self, table: str, exprs: dict[str, str], typed: list[tuple] = (), schema: str = "", where: str = "true"):
+        self.table, self.exprs, self.typed, self.schema, self.where = table, exprs, list(typed), schema, where
+
+    def sql(self) -> str:
+        made = f"SELECT {', '.join(f'{e} AS {n}' for n, e in self.exprs.items())} FROM {self.table} WHERE {self.where}"
+        return f"({made} UNION ALL SELECT * FROM {_values(self.typed, ', '.join(self.exprs))})" if self.typed else f"({made})"
+
+    def rows(self, spark: SparkSession, d: str) -> DataFrame:
+        made = read(spark, d, self.table).where(self.where).selectExpr(*[f"{e} AS {n}" for n, e in self.exprs.items()])
+        return made.unionByName(values(spark, self.typed, self.schema)) if self.typed else made
+
+
 # --- 2.4 scalar functions over conversations and literal rows -----------------------------------
 ASKED = [
     "Can you  find def parse_config and import json?", "please explain how does getUserById work", "How to fix a TypeError exception in traceback",
@@ -196,14 +211,14 @@ def p16(spark, d):
     return read(spark, d, "customer").select("c_custkey", ids.rbac_hash(F.col("c_name"), F.array("c_mktsegment", F.lit("shared"))).alias("rbac_hash"))
 
 
-@query("p17_signature")
+@query("p17_signature", "SELECT event_id AS id, event_id % 5 IN (0, 3) AS valid FROM events")
 def p17(spark, d):
-    import hashlib
-    import hmac
-
-    body = b'{"a":1}'
-    good = "sha256=" + hmac.new(b"k", body, hashlib.sha256).hexdigest()
-    rows = values(spark, [(1, bytearray(body), good, "k"), (2, bytearray(body), "sha256=00", "k"), (3, bytearray(body), "k", "k"), (4, bytearray(body), None, "k")], "id int, body binary, signature string, secret string")
+    """Bodies of all events: signed, signed before a change, signed with another key, sent with the key itself, or bare."""
+    e = read(spark, d, "events").withColumns({"body": F.encode("props", "UTF-8"), "k": F.concat(F.lit("key"), F.col("user_id").cast("string"))})
+    n = F.col("event_id") % 5
+    sent = F.when(n == 1, F.encode(F.concat("props", F.lit(" ")), "UTF-8")).otherwise(F.col("body"))
+    by_hand = ids.signature("body", F.when(n == 2, F.concat("k", F.lit("x"))).otherwise(F.col("k")))
+    rows = e.select(F.col("event_id").alias("id"), sent.alias("body"), F.when(n < 3, by_hand).when(n == 3, F.col("k")).alias("signature"), F.col("k").alias("secret"))
     return rows.select("id", ids.signature_valid("body", "signature", "secret").alias("valid"))
 
 
@@ -279,11 +294,12 @@ def f2(spark, d):
 
 
 BRANCHES = ["main", "develop", "release/1.2", "hotfix/x", "fix/y", "feature/z", "1.2", "staging", "prefix/fix/"]
+BRANCH = Derived("documents", {"branch": "CASE doc_id % 7 WHEN 0 THEN 'main' WHEN 1 THEN 'release/' || doc_id WHEN 2 THEN 'fix/' || source WHEN 3 THEN 'feature/' || lang WHEN 4 THEN 'hotfix' || doc_id WHEN 5 THEN source ELSE 'hotfix/' || lang END"}, [(b,) for b in BRANCHES], "branch string")
 
 
-@query("f3_branch", f"SELECT branch, list_contains({_list(files.PRIORITY_BRANCHES)}, branch) OR regexp_matches(branch, '^(release|hotfix|fix)/') AS indexed FROM {_values([(b,) for b in BRANCHES], 'branch')}")
+@query("f3_branch", f"SELECT branch, list_contains({_list(files.PRIORITY_BRANCHES)}, branch) OR regexp_matches(branch, '^(release|hotfix|fix)/') AS indexed FROM {BRANCH.sql()}")
 def f3(spark, d):
-    return values(spark, [(b,) for b in BRANCHES], "branch string").select("branch", files.branch_indexed(F.col("branch")).alias("indexed"))
+    return BRANCH.rows(spark, d).select("branch", files.branch_indexed(F.col("branch")).alias("indexed"))
 
 
 ROLE_SQL = "CASE doc_id % 3 WHEN 0 THEN ['developer'] WHEN 1 THEN ['developer', 'auditor'] ELSE ['admin'] END"
@@ -312,12 +328,17 @@ def f8(spark, d):
 
 
 COMMANDS = [("python", "pytest", 1), ("python", "lint", 1), ("python", "rm", 0), ("node", "eslint", 0), ("security", "semgrep", 1), ("security", "checkov", 125), ("node", "jest", 1)]
+_command = {"pytest": "click", "lint": "view", "eslint": "purchase", "semgrep": "error"}
+SANDBOX = Derived(
+    "events", {"tool": "CASE user_id % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'node' ELSE 'security' END", "command": "CASE event_type " + " ".join(f"WHEN '{e}' THEN '{c}'" for c, e in _command.items()) + " ELSE 'rm' END", "code": "CAST(event_id % 4 AS INT)"},
+    COMMANDS, "tool string, command string, code int",
+)
 _pairs = lambda ps: "(" + ", ".join(f"({_q(a)}, {_q(b)})" for a, b in ps) + ")"
 
 
-@query("f9_f10_sandbox", f"SELECT tool, command, code, (tool, command) IN {_pairs(files.ALLOWED)} AS allowed, code = 0 OR (code = 1 AND (tool, command) IN {_pairs(files.ALSO_ONE)}) AS accepted FROM {_values(COMMANDS, 'tool, command, code')}")
+@query("f9_f10_sandbox", f"SELECT tool, command, code, (tool, command) IN {_pairs(files.ALLOWED)} AS allowed, code = 0 OR (code = 1 AND (tool, command) IN {_pairs(files.ALSO_ONE)}) AS accepted FROM {SANDBOX.sql()}")
 def f9(spark, d):
-    c = values(spark, COMMANDS, "tool string, command string, code int")
+    c = SANDBOX.rows(spark, d)
     return c.select("*", files.command_allowed(F.col("tool"), F.col("command")).alias("allowed"), files.exit_accepted(F.col("tool"), F.col("command"), F.col("code")).alias("accepted"))
 
 
@@ -664,13 +685,22 @@ def x8(spark, d):
 
 
 HOOKS = [("Push Hook", "main", "p1", ["a.py"]), ("push", "feature/x", "p1", ["a.py"]), ("push", "release/1.2", "p2", ["b.py", "c.py"]), ("push", "main", None, ["a"]), ("push", "main", "p1", []), ("delete", "", "p1", []), ("Repository Delete Hook", "", "p1", []), ("Tag Push", "main", "p1", ["z"])]
-
-
-@query("x1_dispatch", f"""SELECT event_type, branch, project, CASE WHEN event_type IN ('Push Hook', 'push') AND (project IS NULL OR len(paths) = 0) THEN 'skipped:no_changes'
+HOOKED = Derived(
+    "events",
+    {
+        "event_type": "CASE event_type WHEN 'click' THEN 'push' WHEN 'view' THEN 'Push Hook' WHEN 'purchase' THEN 'delete' WHEN 'error' THEN 'Repository Delete Hook' ELSE event_type END",
+        "branch": "CASE user_id % 4 WHEN 0 THEN 'main' WHEN 1 THEN 'fix/' || user_id WHEN 2 THEN 'feature/' || user_id ELSE 'develop' END",
+        "project": "CASE WHEN event_id % 7 <> 0 THEN 'p' || user_id END", "paths": "CASE WHEN event_id % 5 <> 0 THEN split('a' || event_id || '.py,b.py', ',') END",
+    },
+    HOOKS, "event_type string, branch string, project string, paths array<string>",
+)
+
+
+@query("x1_dispatch", f"""SELECT event_type, branch, project, CASE WHEN event_type IN ('Push Hook', 'push') AND (project IS NULL OR coalesce(len(paths), 0) = 0) THEN 'skipped:no_changes'
 WHEN event_type IN ('Push Hook', 'push') AND NOT (list_contains({_list(files.PRIORITY_BRANCHES)}, branch) OR regexp_matches(branch, '^(release|hotfix|fix)/')) THEN 'skipped:branch_excluded:' || branch
-WHEN event_type IN ('Push Hook', 'push') THEN 'queued' WHEN event_type IN ('Repository Delete Hook', 'delete') THEN 'purged' ELSE 'ignored:' || event_type END AS status FROM {_values(HOOKS, 'event_type, branch, project, paths')}""")
+WHEN event_type IN ('Push Hook', 'push') THEN 'queued' WHEN event_type IN ('Repository Delete Hook', 'delete') THEN 'purged' ELSE 'ignored:' || event_type END AS status FROM {HOOKED.sql()}""")
 def x1(spark, d):
-    h = values(spark, HOOKS, "event_type string, branch string, project string, paths array<string>")
+    h = HOOKED.rows(spark, d)
     return h.select("event_type", "branch", "project", gateway.dispatch(F.col("event_type"), F.col("branch"), F.col("project"), F.col("paths")).alias("status"))
 
 
@@ -688,22 +718,25 @@ def g1(spark, d):
 
 
 RING = [("a", "b"), ("b", "c"), ("c", "a"), ("x", "a"), ("y", "x"), ("z", "y"), ("d", "d"), ("x", "c"), ("m", "n")]
-RING_SQL = f"""WITH RECURSIVE e AS {_values(RING, 'src, dst')}, w(start, node, depth) AS (SELECT n, n, 0 FROM (VALUES ('c'), ('d'), ('nope')) t(n)
-UNION SELECT w.start, e.src, w.depth + 1 FROM w JOIN e ON e.dst = w.node WHERE w.depth < %d) SELECT start, node, CAST(min(depth) AS INTEGER) AS depth FROM w WHERE node <> start GROUP BY 1, 2"""
+#: Every document is called by those of twice its id and one more; the first calls itself.
+CALLING = Derived("documents", {"src": "'f' || doc_id", "dst": "'f' || CAST(floor(doc_id / 2) AS BIGINT)"}, RING, "src string, dst string")
+STARTS = Derived("documents", {"node": "'f' || doc_id"}, [("c",), ("d",), ("nope",)], "node string", "doc_id % 50 < 3")
+RING_SQL = f"""WITH RECURSIVE e AS (SELECT DISTINCT * FROM {CALLING.sql()}), w(start, node, depth) AS (SELECT node, node, 0 FROM {STARTS.sql()}
+UNION SELECT w.start, e.src, w.depth + 1 FROM w JOIN e ON e.dst = w.node WHERE w.depth < DEPTH) SELECT start, node, CAST(min(depth) AS INTEGER) AS depth FROM w WHERE node <> start GROUP BY 1, 2"""
 
 
-def ring(spark):
-    return values(spark, RING, "src string, dst string"), values(spark, [("c",), ("d",), ("nope",)], "node string")
+def ring(spark, d):
+    return CALLING.rows(spark, d), STARTS.rows(spark, d)
 
 
-@query("g2_callers", RING_SQL % 2)
+@query("g2_callers", RING_SQL.replace("DEPTH", "2"))
 def g2(spark, d):
-    return graph.callers(*ring(spark), depth=2)
+    return graph.callers(*ring(spark, d), depth=2)
 
 
-@query("a17_ancestors", RING_SQL % 8)
+@query("a17_ancestors", RING_SQL.replace("DEPTH", "32"))
 def a17(spark, d):
-    return graph.callers(*ring(spark), depth=None)
+    return graph.callers(*ring(spark, d), depth=None)
 
 
 @query("g3_callees", f"SELECT DISTINCT src, dst FROM {E_SQL} WHERE src IN ('p1', 'p2', 'p3')")
@@ -731,21 +764,32 @@ DIFFS = [
     (1, "diff --git a/x b/x\nindex 1..2\n--- a/x.py\n+++ b/x.py\n@@ -1 +1 @@\n-old\n+new\n same"), (2, "--- b/y\n+++ b/y\n+one\n+two"), (3, "@@ -1 @@\n-a\n b\n@@ -9 @@\n+c"),
     (4, "--- a/one\n+++i\n---x\n--\n++\n--- a/two\n\\ No newline"), (5, ""), (6, "--- /dev/null\n+++ b/z\n+z"),
 ]
+_marked = "replace(replace(text, '. ', '.' || chr(10) || '+'), ', ', ',' || chr(10) || '-')"
+DIFF = Derived("documents", {"id": "-doc_id", "diff": f"'--- a/' || source || '/f' || doc_id || chr(10) || '+++ b/new' || chr(10) || '@@ -1 +1 @@' || chr(10) || ' ' || {_marked}"}, DIFFS, "id long, diff string", "text IS NOT NULL")
 HEAD_SQL = "(starts_with(x, '--- ') OR starts_with(x, '+++ ') OR starts_with(x, '@@') OR starts_with(x, 'diff ') OR starts_with(x, 'index '))"
 _side = lambda own, other: f"array_to_string([CASE WHEN starts_with(x, '{own}') THEN x[2:] ELSE x END FOR x IN l IF NOT {HEAD_SQL} AND NOT starts_with(x, '{other}')], chr(10))"
 
 
-@query("p25_diff", f"SELECT id, coalesce(regexp_replace(list_last([x FOR x IN l IF starts_with(x, '--- ')]), '^--- [ab]/', ''), 'patched_file') AS target, {_side('-', '+')} AS before, {_side('+', '-')} AS after FROM (SELECT id, string_split(diff, chr(10)) AS l FROM {_values(DIFFS, 'id, diff')})")
+@query("p25_diff", f"SELECT id, coalesce(regexp_replace(list_last([x FOR x IN l IF starts_with(x, '--- ')]), '^--- [ab]/', ''), 'patched_file') AS target, {_side('-', '+')} AS before, {_side('+', '-')} AS after FROM (SELECT id, string_split(diff, chr(10)) AS l FROM {DIFF.sql()})")
 def p25(spark, d):
-    return gateway.diff_sides(values(spark, DIFFS, "id int, diff string"))
+    return gateway.diff_sides(DIFF.rows(spark, d))
 
 
 FOUND = [("a.py", 0, None, "high", "m", "R1", "sec"), ("b.py", 10, 12, "low", "n", "R2", "style"), ("c.py", 5, 3, "odd", "o", "R3", "x")]
-
-
-@query("p26_diagnostics", f"SELECT file, greatest(0, line - 1) AS line, greatest(greatest(0, line - 1), coalesce(end_line, line) - 1) AS end_line, '[' || rule_id || '] ' || message || ' — ' || category AS message, CAST(coalesce(CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 WHEN 'info' THEN 2 END, 1) AS INTEGER) AS level FROM {_values(FOUND, 'file, line, end_line, severity, message, rule_id, category')}")
+FINDING = Derived(
+    "lineitem",
+    {
+        "file": "'f' || l_partkey || '.py'", "line": "CAST(l_linenumber * 3 - 3 AS INT)", "end_line": "CASE WHEN l_orderkey % 3 <> 0 THEN CAST(l_linenumber * 2 AS INT) END",
+        "severity": "CASE l_orderkey % 6 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' WHEN 4 THEN 'info' ELSE 'odd' END",
+        "message": "'m' || l_suppkey", "rule_id": "'R' || l_linenumber", "category": "l_returnflag",
+    },
+    FOUND, "file string, line int, end_line int, severity string, message string, rule_id string, category string",
+)
+
+
+@query("p26_diagnostics", f"SELECT file, greatest(0, line - 1) AS line, greatest(greatest(0, line - 1), coalesce(end_line, line) - 1) AS end_line, '[' || rule_id || '] ' || message || ' — ' || category AS message, CAST(coalesce(CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 WHEN 'info' THEN 2 END, 1) AS INTEGER) AS level FROM {FINDING.sql()}")
 def p26(spark, d):
-    return gateway.diagnostics(values(spark, FOUND, "file string, line int, end_line int, severity string, message string, rule_id string, category string"))
+    return gateway.diagnostics(FINDING.rows(spark, d))
 
 
 # --- chunking, sources, streams ------------------------------------------------------------------
@@ -800,6 +844,25 @@ def t6(spark, d):
     return graph.edges_of(read(spark, d, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("fqn"), F.split("text", " ").alias("calls")))
 
 
+def written_code(spark, d) -> DataFrame:
+    """Each document as a Python file: a class with a method for each of its lines, and a function for each."""
+    lines = F.split("text", "\n")
+    body = lambda pad: F.array_join(F.transform(lines, lambda x, n: F.concat(F.lit(f"{pad}def f"), n.cast("string"), F.lit(f"(x):\n{pad}    return c"), (F.length(x) % 50).cast("string"), F.lit("(x)\n"))), "")
+    code = F.concat(F.lit("import os\n"), body(""), F.lit("class Held:\n"), body("    "))
+    return read(spark, d, "documents").where("text is not null").select(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file_path"), code.alias("content"), F.lit("python").alias("language"), F.col("source").alias("project_id"), F.lit("r").alias("repository_name"))
+
+
+LINE_SQL = "(SELECT doc_id, len(string_split(text, chr(10))) AS n, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL)"
+
+
+@query("t1_source_chunks", f"""SELECT 'f' || doc_id || '.py' AS file_path, 'function' AS node_type, 'f' || i AS node_name, CAST(2 + 2 * i AS INTEGER) AS start_line, CAST(3 + 2 * i AS INTEGER) AS end_line, CAST(NULL AS VARCHAR) AS parent_class, 'c' || length(x) % 50 AS calls FROM {LINE_SQL}
+UNION ALL SELECT 'f' || doc_id || '.py', 'method', 'f' || i, CAST(3 + 2 * n + 2 * i AS INTEGER), CAST(4 + 2 * n + 2 * i AS INTEGER), 'Held', 'c' || length(x) % 50 FROM {LINE_SQL}
+UNION ALL SELECT 'f' || doc_id || '.py', 'class', 'Held', CAST(2 + 2 * n AS INTEGER), CAST(2 + 4 * n AS INTEGER), NULL, array_to_string(list_sort(list(DISTINCT 'c' || length(x) % 50)), ',') FROM {LINE_SQL} GROUP BY doc_id, n""")
+def t1_source(spark, d):
+    got = chunking.chunk_files(spark, written_code(spark, d))
+    return got.select("file_path", "node_type", "node_name", "start_line", "end_line", "parent_class", F.array_join(F.array_sort(F.array_distinct("calls")), ",").alias("calls"))
+
+
 @query("t6_chunk_edges")
 def t6_chunks(spark, d):
     return graph.edges_of(chunking.chunk_files(spark, source_files(spark)))
@@ -822,8 +885,18 @@ PUSHES = [
     (5, "Push Hook", '{"project":{"id":8},"commits":[{"added":["y.py"]}]}'),
     (6, "push", "{}"),
 ]
+_commits = """'"commits":[{"added":["f' || (event_id % 1000) || '.py"],"modified":["f' || (event_id % 70) || '.min.js","f' || (event_id % 1000) || '.py","gone.go"]},{"modified":["f1.py"]}]}'"""
+_pushed = """CASE WHEN user_id % 2 = 0 THEN '{"project":{"id":' || (user_id % 10) || ',"git_http_url":"https://l/q.git"},' ELSE '{"repository":{"id":' || (user_id % 10) || ',"clone_url":"https://h/r.git"},' END"""
+PUSHED = Derived(
+    "events",
+    {
+        "id": "-event_id", "event_type": "CASE WHEN event_type IN ('click', 'view') THEN 'Push Hook' ELSE 'push' END",
+        "body": _pushed + """ || '"ref":"refs/heads/' || event_type || '","after":"c' || event_id || '",' || """ + f"CASE WHEN event_id % 6 = 0 THEN '\"commits\":[]}}' ELSE {_commits} END",
+    },
+    PUSHES, "id long, event_type string, body string",
+)
 PUSH_SQL = f"""
-p AS (SELECT id, event_type, json(body) AS j, event_type = 'Push Hook' AS lab FROM {_values(PUSHES, 'id, event_type, body')}),
+p AS (SELECT id, event_type, json(body) AS j, event_type = 'Push Hook' AS lab FROM {PUSHED.sql()}),
 c AS (SELECT id, unnest(CAST(j->'$.commits' AS JSON[])) AS c, generate_subscripts(CAST(j->'$.commits' AS JSON[]), 1) AS n FROM p),
 e AS (SELECT id, n, 0 AS kind, unnest(CAST(c->'$.added' AS VARCHAR[])) AS path, generate_subscripts(CAST(c->'$.added' AS VARCHAR[]), 1) AS k FROM c
   UNION ALL SELECT id, n, 1, unnest(CAST(c->'$.modified' AS VARCHAR[])), generate_subscripts(CAST(c->'$.modified' AS VARCHAR[]), 1) FROM c),
@@ -834,30 +907,32 @@ job AS (SELECT p.id, coalesce(CASE WHEN lab THEN j->>'$.project.id' ELSE j->>'$.
 jobs AS (SELECT *, project_id <> '' AND paths IS NOT NULL AS ok FROM job)"""
 
 
-def pushes(spark) -> DataFrame:
-    return gateway.push_jobs(values(spark, PUSHES, "id int, event_type string, body string"))
+def pushes(spark, d) -> DataFrame:
+    return gateway.push_jobs(PUSHED.rows(spark, d))
 
 
 @query("t7_push_jobs", f"WITH {PUSH_SQL} SELECT id, CASE WHEN ok THEN project_id END AS project_id, CASE WHEN ok THEN branch END AS branch, CASE WHEN ok THEN repository_url END AS repository_url, CASE WHEN ok THEN array_to_string(paths, ',') END AS paths, CASE WHEN ok THEN commit_hash END AS commit_hash FROM jobs")
 def t7(spark, d):
-    return pushes(spark).select("id", "job.project_id", "job.branch", "job.repository_url", F.array_join("job.changed_files", ",").alias("paths"), "job.commit_hash")
+    return pushes(spark, d).select("id", "job.project_id", "job.branch", "job.repository_url", F.array_join("job.changed_files", ",").alias("paths"), "job.commit_hash")
 
 
 TREE = [("7", "a.py", 10), ("7", "c.min.js", 10), ("7", "b.py", 600_000), ("8", "x.go", 5), ("9", "a.py", 1)]
+TREES = Derived("documents", {"project_id": "CAST(doc_id % 10 AS STRING)", "path": "'f' || doc_id || CASE WHEN doc_id % 7 = 0 THEN '.min.js' ELSE '.py' END", "size": "n_chars * 100"}, TREE, "project_id string, path string, size long")
 
 
 @query("j10_changed_files", f"""WITH {PUSH_SQL}, q AS (SELECT DISTINCT project_id, unnest(paths) AS path FROM jobs WHERE ok)
-SELECT q.project_id, q.path, CASE WHEN t.size <= 500000 AND NOT ends_with(q.path, '.min.js') THEN 'replace' ELSE 'delete' END AS action FROM q LEFT JOIN {_values(TREE, 'project_id, path, size')} t ON t.project_id = q.project_id AND t.path = q.path""")
+SELECT q.project_id, q.path, CASE WHEN t.size <= 500000 AND NOT ends_with(q.path, '.min.js') THEN 'replace' ELSE 'delete' END AS action FROM q LEFT JOIN {TREES.sql()} t ON t.project_id = q.project_id AND t.path = q.path""")
 def j10(spark, d):
-    return gateway.changed_files(pushes(spark), values(spark, TREE, "project_id string, path string, size long"))
+    return gateway.changed_files(pushes(spark, d), TREES.rows(spark, d))
 
 
 REFS = [("a", "l1", "r1", "h1"), ("b", None, "r2", "h2"), ("c", None, None, "h3"), ("d", None, None, None)]
+REF = Derived("orders", {"name": "'o' || o_orderkey", "local": "CASE WHEN o_orderstatus = 'F' THEN 'l' || o_custkey END", "remote": "CASE WHEN o_custkey % 2 = 0 THEN 'r' || o_orderkey END", "head": "CASE WHEN o_orderkey % 3 <> 0 THEN 'h' || o_custkey END"}, REFS, "name string, local string, remote string, head string")
 
 
-@query("s4_branch_tip", f"SELECT name, coalesce(local, remote, head, 'unknown') AS tip FROM {_values(REFS, 'name, local, remote, head')}")
+@query("s4_branch_tip", f"SELECT name, coalesce(local, remote, head, 'unknown') AS tip FROM {REF.sql()}")
 def s4(spark, d):
-    return readers.branch_tip(values(spark, REFS, "name string, local string, remote string, head string"))
+    return readers.branch_tip(REF.rows(spark, d))
 
 
 # --- payloads, references, cache, counters -------------------------------------------------------
