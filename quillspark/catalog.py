@@ -1296,8 +1296,8 @@ def stub_writer():
 h AS (SELECT *, CASE WHEN length(raw) % 5 > 1 THEN nullif(regexp_replace(right(raw, 200), '^[\s\x0b]+|[\s\x0b]+$', '', 'g'), '') END AS hypothetical FROM n),
 q AS (SELECT item_id AS query_id, hypothetical IS NOT NULL AS written, {_letters("coalesce(hypothetical, normalised)")} AS v FROM h),
 d AS (SELECT doc_id AS id, {_letters("text")} AS v FROM documents),
-s AS (SELECT query_id, written, id, round(CASE WHEN list_inner_product(q.v, q.v) = 0 OR list_inner_product(d.v, d.v) = 0 THEN 0 ELSE list_cosine_similarity(q.v, d.v) END, 9) AS score FROM q, d),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s)
+s AS (SELECT query_id, written, id, CASE WHEN list_inner_product(q.v, q.v) = 0 OR list_inner_product(d.v, d.v) = 0 THEN 0 ELSE list_cosine_similarity(q.v, d.v) END AS score FROM q, d),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank FROM s)
 SELECT query_id, written, rank, id, round(score, 6) AS score FROM r WHERE rank <= 5""")
 def p5(spark, d):
     """Each benchmark item's snippet, or the item itself where there is none, against all documents."""
