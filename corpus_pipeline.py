@@ -2,7 +2,7 @@
 
 Stages take and return whole tables of documents; only the last returns packed pieces. Null texts
 pass the first three stages and pack as one end id each; rows with a null id pass all stages, rows that
-repeat an id stay or go together in the second, and other columns are kept, whatever their names, until
+repeat an id stay or go together in the second, of groups that tie the smallest id stays, and other columns are kept, whatever their names, until
 the last. Texts of any length go through whole. An empty table passes through all stages. Lexicon and
 labels come from the whole documents table of sf_dir, whatever a stage was given.
 
@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import near_dedup, packing, secrets, toxicity
 from quillspark.llm.queries import VOCABULARY
-from quillspark.llm.shared import new_folder, table
+from quillspark.llm.shared import new_folder, table, unused
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxicity reaches the threshold; the lexicon comes from the labels."""
     lexicon = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, lexicon, out="__toxicity").where(F.col("__toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    score = unused(docs, "toxicity")
+    return toxicity.score(docs, lexicon, out=score).where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
