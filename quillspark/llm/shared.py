@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import ship
 from ..storage import cut, kept, new_folder, shared_folder
 
-__all__ = ["cut", "kept", "lean", "new_folder", "parts", "shared_folder", "table"]
+__all__ = ["cut", "kept", "lean", "new_folder", "parts", "shared_folder", "table", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,3 +38,11 @@ def lean(run):
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one that begins with it, which no column of df has (in either case of letters)."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name

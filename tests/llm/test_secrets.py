@@ -1,8 +1,11 @@
 """Secret spans against Python's own patterns, and the battery on names and random tokens."""
 
+import base64
+import math
 import random
 import re
 import string
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +100,74 @@ def test_lone_token_and_plain_words(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
     assert [spans for _, _, spans in sorted(found(rows))] == [[(10, 3, 42)], [], [], []]
     assert token not in secrets.redact(rows).where("doc_id = 0").first().text
+
+
+def test_columns_with_any_names_stay(spark):
+    own = {"base": 1, "base_": 2, "RUNS": 3, "__base": 4, "__runs": 5, "__secrets": 6, "secrets": 7}
+    t = "token=abcdefgh12 and Zk3vQ9xT1bLw7RmP2sYd8HfG5jCnA0eU"
+    df = spark.createDataFrame([(1, t)], SCHEMA).withColumns({k: F.lit(v) for k, v in own.items()})
+    masked = secrets.redact(df)
+    assert masked.columns == df.columns and masked.first().asDict() == {"doc_id": 1, "text": "[SECRET] and [SECRET]", **own}
+    got = secrets.spans(df, out="found").first().asDict()
+    assert len(got.pop("found")) == 2 and got == {"doc_id": 1, "text": t, **own}
+    assert len(secrets.spans(df).first().secrets) == 2  # the column that it adds replaces one of its name
+
+
+def plain_battery(codes, a, uneven, changes, classes):
+    """(p of uniform symbols, p of ordinary text) by the textbook formulas."""
+    n, df = len(codes), a - 1
+    tail = lambda z: math.erfc(z / 2**0.5) / 2
+    chi = sum(codes.count(k) ** 2 for k in range(a)) * a / n - n
+    z_chi = ((max(chi, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    up = [c >= a / 2 for c in codes]
+    high, runs = sum(up), 1 + sum(x != y for x, y in zip(up, up[1:]))
+    mu = 2 * high * (n - high) / n + 1
+    var = (mu - 1) * (mu - 2) / (n - 1)
+    z_runs = abs(runs - mu) / math.sqrt(var) if var > 0 else 9
+    mean = sum(codes) / n
+    dev = sum((c - mean) ** 2 for c in codes)
+    z_lag = abs(sum((x - mean) * (y - mean) for x, y in zip(codes, codes[1:])) / dev) * math.sqrt(n) if dev else 9
+    of = [sum(edge <= c for edge in classes) for c in codes]
+    even = (df + n * uneven - chi) / math.sqrt(2 * (df + 2 * n * uneven))
+    often = (sum(x != y for x, y in zip(of, of[1:])) - (n - 1) * changes) / math.sqrt((n - 1) * changes * (1 - changes))
+    return min(1, 3 * min(tail(z_chi), 2 * tail(max(z_runs, z_lag)))), tail((even + often) / 2**0.5)
+
+
+def test_p_values_equal_a_plain_computation(spark):
+    rng = random.Random(3)
+    want, rows = {}, []
+    for name, _, symbols, least, classes, uneven, changes in secrets.ENCODINGS:
+        for k in range(40):
+            n = rng.randrange(least, least + 60)
+            some = symbols if k % 2 else rng.sample(symbols, 12)  # even and uneven runs
+            v = "".join(rng.choice(some) for _ in range(n - 4)) + {"hex": "a1b2", "base32": "A2B3", "alnum": "z1y2", "upper": "Z189", "base64": "aA1+"}[name]
+            want[len(rows)] = (name, *plain_battery([symbols.index(c) for c in v], len(symbols), uneven, changes, classes))
+            rows.append((len(rows), v))
+    got = spark.createDataFrame(rows, SCHEMA).select("doc_id", secrets.battery(F.col("text")).alias("b")).collect()
+    for r in got:
+        name, p, q = want[r.doc_id]
+        assert r.b.encoding == name and abs(r.b.random - p) < 1e-5 and abs(r.b.text - q) < 1e-5, rows[r.doc_id]
+
+
+def ordinary(rng, kind, n):
+    words = "account balance customer delivery element factory gateway handler instance journal keyword listener manager network Über straße привет 日本語".split()
+    text = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    raw = text(rng.randrange(5, 12)).encode()[: rng.randrange(24, 60)]
+    made = {
+        "base64": lambda: base64.b64encode(raw).decode(), "urlsafe": lambda: base64.urlsafe_b64encode(raw).decode().rstrip("="), "shifted": lambda: "x1/" + base64.b64encode(raw).decode(),
+        "base32": lambda: base64.b32encode(raw).decode().rstrip("="), "hex": lambda: raw.hex().upper(), "uuid": lambda: str(uuid.UUID(int=rng.getrandbits(128))),
+        "path": lambda: "/".join(rng.choice(words[:14]) + str(rng.randrange(9)) for _ in range(5)), "camel": lambda: names(rng, 1, 40)[0],
+    }
+    return [made[kind]() for _ in range(n)]
+
+
+@pytest.mark.parametrize("kind", ["base64", "urlsafe", "shifted", "base32", "hex", "path", "camel"])
+def test_ordinary_text_in_disguise(spark, kind):
+    """Of what is reported at most 8 % is text; random tokens of the same alphabet still are reported."""
+    rng = random.Random(kind)
+    tokens = ["".join(rng.choice(ALPHABETS["base64"]) for _ in range(44)) for _ in range(300)]
+    rows = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(tokens + ordinary(rng, kind, 300))], SCHEMA)
+    got = {i for i, _, spans in found(rows) if any(k == 3 for _, k, _ in spans)}
+    wrong, right = sum(i >= 300 for i in got), sum(i < 300 for i in got)
+    print(kind, right, wrong)
+    assert wrong <= 0.08 * len(got) and right >= 285
