@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from .text import tokens
 
 
+#: Words whose hashes a model remembers.
+KNOWN = 50_000
+
+
 def hashing_model(dim: int = 64):
     """A function from lists of tokens to vectors."""
     import zlib
@@ -25,7 +29,7 @@ def hashing_model(dim: int = 64):
             v = np.zeros(dim)
             for w in () if words is None else words:
                 if w not in known:
-                    if len(known) > 500_000:
+                    if len(known) >= KNOWN:
                         known.clear()
                     h = zlib.crc32(w.encode())
                     known[w] = h % dim, 1.0 if h >> 31 else -1.0
@@ -43,6 +47,7 @@ def hashing_embedding(text: Column, dim: int = 64) -> Column:
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = hashing_model(dim)
         for batch in batches:
-            yield pd.Series(model(batch))
+            yield pd.Series(model(None if t is None else t.split(" ") if t else [] for t in batch))
 
-    return embed(tokens(text))
+    # tokens hold no blanks; as one string a text's words are objects only while it is embedded
+    return embed(F.array_join(tokens(text), " "))

@@ -20,6 +20,8 @@ from pyspark.sql import types as ST
 from .. import ship
 
 BATCH, ATTEMPTS, WAIT = 32, 3, 0.5
+#: Rows of which texts and vectors are held at once; whole batches of the model fit in.
+ROWS = 1024
 Model = Callable[[list[str]], list[list[float]]]
 _loaded: dict[tuple[str, str], Model] = {}
 
@@ -46,7 +48,8 @@ def inferred(load: Callable[[], Model], key: tuple[str, str], batch: int, attemp
         if key not in _loaded:
             _loaded[key] = load()
         model = _loaded[key]
-        for b in batches:
+        rows = max(1, ROWS // batch) * batch
+        for b in (whole.slice(j, rows) for whole in batches for j in range(0, max(1, whole.num_rows), rows)):
             texts = b.column(b.num_columns - 1).to_pylist()
             vectors: list = [None] * len(texts)
             errors: list = [None] * len(texts)
