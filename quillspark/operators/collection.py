@@ -25,8 +25,8 @@ from .. import ship
 from ..storage import kept
 from .retrieval import cosine, ranked
 
-#: Bytes of queries that are sent to tasks at once, and rows that are scored at once.
-QUERY_BYTES, STEP = 64 << 20, 2048
+#: Bytes of queries that are sent to tasks at once, rows that are scored at once, and most pairs of them with queries.
+QUERY_BYTES, STEP, PAIRS = 64 << 20, 2048, 1 << 21
 #: Bounds are widened by this: scores are compared rounded to nine digits.
 SLACK = 1e-8
 
@@ -95,6 +95,11 @@ def candidates(held: DataFrame, queries: DataFrame, k: int, threshold: float, ow
     return out.join(floor, "query_id").where(f"floor is null or high >= floor - {SLACK}").drop("floor")
 
 
+def step(queries: int) -> int:
+    """Rows that are scored at once against so many queries."""
+    return max(1, min(STEP, PAIRS // max(1, queries)))
+
+
 def _bounded(sent, k: int, threshold: float, own: bool):
     def run(batches):
         names, q = sent.value
@@ -103,14 +108,14 @@ def _bounded(sent, k: int, threshold: float, own: bool):
         floor = np.full((len(names), k), -np.inf)  # the k greatest lower bounds of each query
         held: list[tuple] = []
         width, kind, zero = q.shape[1], None, ~q.any(1)
-        numbers = {name: n for n, name in enumerate(names)}
+        numbers, rows = {name: n for n, name in enumerate(names)}, step(len(names))
 
         def live(part):
             keep = part[3] >= floor[part[0], 0] - SLACK
             return tuple(c[keep] if isinstance(c, np.ndarray) else c.filter(pa.array(keep)) for c in part)
 
         for whole in batches:
-            for b in (whole.slice(j, STEP) for j in range(0, whole.num_rows, STEP)):
+            for b in (whole.slice(j, rows) for j in range(0, whole.num_rows, rows)):
                 kind = b.column(0).type
                 ok = [len(c.as_py()) == width for c in b.column(1)]
                 codes = np.frombuffer(b"".join(c.as_py() if fit else bytes(width) for c, fit in zip(b.column(1), ok)), np.int8).reshape(-1, width).astype(np.float64)
