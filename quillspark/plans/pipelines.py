@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import inference, text
 from ..functions.embed import hashing_embedding
-from ..operators import chunking, context, files, graph, maintenance, retrieval, substrings
+from ..operators import chunking, context, files, graph, maintenance, postings, retrieval, substrings
 from ..operators.store import Store
 from ..storage import kept
 
@@ -86,7 +86,7 @@ def searched(asked: DataFrame) -> Column:
     return F.coalesce(F.nullif("hypothetical", F.lit("")), "normalised") if "hypothetical" in asked.columns else F.col("normalised")
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, edges: DataFrame | None = None, k: int = 5, wide: int = 20, budget: int = 3000, threshold: float | None = 0.65) -> DataFrame:
+def retrieve(queries: DataFrame, chunks: DataFrame, edges: DataFrame | None = None, k: int = 5, wide: int = 20, budget: int = 3000, threshold: float | None = 0.65, index: str | None = None, texts: DataFrame | None = None) -> DataFrame:
     """(query_id, context, sources, callers, tokens) of requests (query_id, query, projects, roles, vector)
     over chunks (chunk_id, content, project_id, allowed_roles, embedding, file_path, start_line, end_line,
     commit_hash, repository_name, node_name, language). Without a column vector the queries' search text
@@ -94,7 +94,9 @@ def retrieve(queries: DataFrame, chunks: DataFrame, edges: DataFrame | None = No
 
     Requests see rows of their projects that one of their roles may see, before anything is ranked.
     Dense, BM25 and symbol lists are fused; the ``wide`` best are reranked against the query, and the k best
-    of these enter the context while the budget lasts, followed by first callers; edges are (src, dst) of repository::file::name."""
+    of these enter the context while the budget lasts, followed by first callers; edges are (src, dst) of repository::file::name.
+    index is a folder of stored postings of these chunks with their access, if there is one; texts are the chunks without
+    vectors, where these are joined to them from elsewhere."""
     asked = queries.withColumn("normalised", text.normalise(F.col("query")))
     if "vector" not in queries.columns:
         asked = asked.withColumn("vector", hashing_embedding(searched(asked)))
@@ -102,11 +104,11 @@ def retrieve(queries: DataFrame, chunks: DataFrame, edges: DataFrame | None = No
     body = chunks.withColumnRenamed("chunk_id", "id")
     lists = [
         retrieval.dense(body, asked, wide, threshold, "id", "embedding", access=True, own=True),
-        retrieval.bm25(body, asked, "id", "content", wide, access=True),
+        retrieval.bm25(body, asked, "id", "content", wide, access=True) if index is None else postings.search(chunks.sparkSession, index, asked, wide, access=True),
         named(body, asked),
     ]
     fused = retrieval.fuse(lists, wide).join(asked.select("query_id", F.col("normalised").alias("query")), "query_id").withColumnRenamed("score", "relevance")
-    parts = body.withColumn("id", F.col("id").cast("string"))
+    parts = (chunks if texts is None else texts).withColumn("id", F.col("chunk_id").cast("string")).drop("chunk_id")
     best = retrieval.rerank(parts.join(retrieval.bounded(fused, asked, wide), "id"), k=k).drop("score")
     place = F.col("start_line"), F.col("end_line")
     best = best.withColumn("content", text.neutralise(F.col("content"), F.col("file_path"), *place))
