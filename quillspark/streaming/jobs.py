@@ -11,8 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,25 +27,23 @@ class Lifecycle(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.job = handle, handle.getValueState("job", STATE)
 
-    def _row(self, key, status, started, last, timeouts, version, change) -> pd.DataFrame:
+    def _row(self, key, status, started, last, timeouts, version, change) -> Row:
         finished = None if status in OPEN else last + self.limit if status == "timeout" else last
-        return pd.DataFrame({"job_id": [key[0]], "status": [status], "started": [started], "finished": pd.array([finished], "Int64"), "timeouts": [timeouts], "version": [version], "change": [change]})
+        return Row(job_id=key[0], status=status, started=started, finished=finished, timeouts=timeouts, version=version, change=change)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.job.get() if self.job.exists() else None
-        status, started, last, number, timeouts, version = held or (None, None, None, None, 0, 0)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        status, started, last, number, timeouts, version = self.job.get() or (None, None, None, None, 0, 0)
         was_open, old = status in OPEN, last
-        events = pd.concat(list(rows)).sort_values(["micros", "event_id"])
-        for micros, event, said in events[["micros", "event_id", "status"]].itertuples(index=False, name=None):
+        for micros, event, said in sorted(((r.micros, r.event_id, r.status) for r in rows), key=lambda e: e[:2]):
             if last is not None and (micros, event) < (last, number):
                 started = min(started, micros)  # late: an event after it has spoken already
                 continue
             if status in OPEN and micros - last > self.limit:
                 timeouts += 1
-            status, last, number = said, int(micros), int(event)
+            status, last, number = said, micros, event
             started = last if started is None else min(started, last)
         version += 1
-        self.job.update((status, int(started), last, number, int(timeouts), int(version)))
+        self.job.update((status, started, last, number, timeouts, version))
         if was_open:
             self.handle.deleteTimer(self._due(old))
         if status in OPEN:
@@ -56,7 +53,7 @@ class Lifecycle(StatefulProcessor):
     def _due(self, last: int) -> int:
         return -(-(last + self.limit) // 1000) + 1
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         status, started, last, number, timeouts, version = self.job.get()
         if status in OPEN and self._due(last) <= expiredTimerInfo.getExpiryTimeInMs():
             self.job.update(("timeout", started, last, number, timeouts + 1, version + 1))
@@ -72,7 +69,7 @@ def lifecycle(events: DataFrame, limit_seconds: int, late: str = "1 hour") -> Da
     p = Lifecycle()
     p.limit = limit_seconds * 1_000_000
     e = events.withWatermark("ts", late).select("job_id", "event_id", "status", F.unix_micros("ts").alias("micros"), "ts")
-    return e.groupBy("job_id").transformWithStateInPandas(p, CHANGED, "Append", "EventTime")
+    return e.groupBy("job_id").transformWithState(p, CHANGED, "Append", "EventTime")
 
 
 def run(changes: DataFrame, path: str, checkpoint: str):
