@@ -61,11 +61,13 @@ class Store:
     def seen(self, stream: str, epoch: int) -> bool:
         return self.manifest().get("epochs", {}).get(stream, -1) >= epoch
 
-    def commit(self, rows: DataFrame, touched: list[int], stream: str = "", epoch: int | None = None) -> None:
-        """Replaces the touched partitions by rows, which belong to these."""
+    def commit(self, rows: DataFrame, touched: list[int], stream: str = "", epoch: int | None = None, dealt: bool = False) -> None:
+        """Replaces the touched partitions by rows, which belong to these; rows that are ``dealt`` lie in
+        few tasks for each partition already."""
         m, folder = self.manifest(), f"data/{uuid.uuid4().hex}"
         kind = rows.schema
-        rows.withColumn("__part", self.part()).repartition("__part").write.partitionBy("__part").parquet(f"{self.path}/{folder}")
+        rows = rows.withColumn("__part", self.part())
+        (rows if dealt else rows.repartition("__part")).write.partitionBy("__part").parquet(f"{self.path}/{folder}")
         fs, at, jpath = self._fs()
         written = {f.getPath().getName().split("=")[1] for f in fs.listStatus(jpath(f"{self.path}/{folder}")) if "=" in f.getPath().getName()}
         stray = written - {str(p) for p in touched}

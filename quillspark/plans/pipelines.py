@@ -18,14 +18,23 @@ from ..storage import kept
 ORIGIN = ["project_id", "tenant_id", "allowed_roles", "sensitivity_level", "branch", "commit_hash", "repository_name"]
 
 
-def file_chunks(files_: DataFrame, model: str = "hashing", version: str = "1", now: Column | None = None) -> DataFrame:
+#: Groups of files that the rows of a partition of the store are dealt in.
+DEAL = 8
+
+
+def file_chunks(files_: DataFrame, model: str = "hashing", version: str = "1", now: Column | None = None, part: Column | None = None) -> DataFrame:
     """Rows of the index for files (file_path, content, size, ORIGIN): filtered, redacted, chunked, of equal
-    chunks of a file the first, embedded and stamped with model, version and time."""
+    chunks of a file the first, embedded and stamped with model, version and time. They are dealt by files, or by
+    ``part``, a number of a file, in DEAL groups each, so that they can be written by it without a shuffle more."""
     wanted = files_.where(files.indexable(F.col("file_path"), F.col("size")))
     clean = text.redact(F.coalesce("content", F.lit("")))
     wanted = wanted.select("file_path", clean.alias("content"), (clean != F.coalesce("content", F.lit(""))).alias("has_secrets_redacted"), files.language(F.col("file_path")).alias("language"), *ORIGIN)
     chunks = chunking.chunk_files(files_.sparkSession, wanted)
-    first = maintenance.latest(chunks, ["project_id", "file_path", "chunk_hash"], [F.col("start_line")])
+    by = ["project_id", "file_path", "chunk_hash"]
+    if part is not None:
+        dealt = {"__part": part, "__group": F.pmod(F.hash("file_path", "project_id"), F.lit(DEAL))}
+        chunks, by = chunks.withColumns(dealt).repartition(*dealt), [*dealt, *by]
+    first = maintenance.latest(chunks, by, [F.col("start_line")]).drop("__part", "__group")
     stamps = {"embedding_model": F.lit(model), "embedding_model_version": F.lit(version), "indexed_at": F.current_timestamp() if now is None else now}
     return first.withColumn("embedding", hashing_embedding(F.col("content"))).withColumns(stamps)
 
@@ -51,19 +60,21 @@ def apply_changes(store: Store, changes: DataFrame, epoch: int, stream: str = "c
     """Brings the stored chunks up to changed files (file_path, content, size, removed, ts, ORIGIN): of each
     file the latest change holds; its old rows go, and what it is now is filtered, redacted, chunked,
     embedded and stored, in one commit of the partitions that the files are in. An epoch that is stored
-    already is left out, so a batch may come again after a failure."""
+    already is left out, so a batch may come again after a failure. Changes are read more than once."""
     if store.seen(stream, epoch):
         return
     keys = list(store.keys)
-    last = kept(maintenance.latest(changes, keys, [F.desc("ts"), F.col("removed")]), "changes")
+    last = changes
+    if changes.groupBy(*keys).count().where("count > 1").limit(1).count():  # else nothing but keys is shuffled for it
+        last = kept(maintenance.latest(changes, keys, [F.desc("ts"), F.col("removed")]), "changes")
     touched = sorted(r[0] for r in last.select(store.part()).distinct().collect())  # as many as the store has at most
     if not touched:
         return
-    rows = file_chunks(last.where("not removed"))
+    rows = file_chunks(last.where("not removed"), part=store.part())
     held = store.read(touched)
     if held is not None:
         rows = held.join(last.select(*keys), keys, "left_anti").select(*rows.columns).unionByName(rows)
-    store.commit(rows, touched, stream, epoch)
+    store.commit(rows, touched, stream, epoch, dealt=True)
 
 
 def delta_stream(changes: DataFrame, store: Store, checkpoint: str, stream: str = "changes"):
